@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyweave.llm import frequent, mixing, packing, seen, tokens
+from keyweave.llm import frequent, mixing, packing, readability, seen, tokens
 from keyweave.session import materialize, table
 
 TOP_K = 25
@@ -66,9 +66,26 @@ def p7_shares(spark, d):
     return mixing.mix(_sized(spark, d, "source"), table(spark, d, "mix_targets")).report
 
 
+def _levels(spark, d):
+    docs = table(spark, d, "documents")
+    return readability.levels(docs, readability.fit_levels(docs, table(spark, d, "reading_labels")))
+
+
+def p8_found(spark, d):
+    return _levels(spark, d).filter("level >= 4").select("doc_id")
+
+
+def p8_levels(spark, d):
+    return _levels(spark, d)
+
+
+def p8_profile(spark, d):
+    return readability.profile(table(spark, d, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_top, p4_found, p4_errors, p6_found, p6_packed, p6_bins, p7_found, p7_mix, p7_shares)
+    for f in (p2_found, p2_top, p4_found, p4_errors, p6_found, p6_packed, p6_bins, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)
 }
 
 _TOP = f"""
