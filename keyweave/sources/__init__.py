@@ -1,0 +1 @@
+"""Reading and writing of record files, and versioned tables."""
