@@ -67,7 +67,9 @@ def jump(index: DataFrame, key, value, n: int, order: str = "lexical") -> DataFr
 def join_primary(index: DataFrame, table: DataFrame, primary_key: str, keys: DataFrame | None = None) -> DataFrame:
     """Records behind the index, optionally of some index keys only: ``ikey`` and the table's columns."""
     wanted = index if keys is None else index.join(keys.select(IKEY).distinct(), IKEY, "left_semi")
-    return wanted.join(table, F.col(PKEY) == table[primary_key]).select(IKEY, *[table[c] for c in table.columns])
+    pairs, rows = wanted.select(F.col(IKEY).alias("__i"), F.col(PKEY).alias("__p")).alias("x"), table.alias("t")
+    found = pairs.join(rows, F.col("x.__p") == F.col(f"t.`{primary_key}`"))
+    return found.select(F.col("x.__i").alias(IKEY), *[F.col(f"t.`{c}`") for c in table.columns])
 
 
 def refresh(index: DataFrame, before: DataFrame, after: DataFrame, index_key: str, primary_key: str) -> DataFrame:
