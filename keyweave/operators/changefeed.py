@@ -26,11 +26,12 @@ _BLANKS = " \t\r\n\x0b\x0c"
 def normalize_op(op: Column) -> Column:
     """Change kind in one spelling: case, outer blanks and an ``op_`` prefix do not count, enum
     numbers are names. Anything else, empty and null included, gives null."""
-    bare = F.regexp_replace(F.upper(F.btrim(op, F.lit(_BLANKS))), "^OP_", "")
+    bare = F.upper(F.btrim(op, F.lit(_BLANKS)))
     named = F.lit(None).cast("string")
-    for number, name in OP_NUMBERS.items():
-        named = F.when(bare == number, F.lit(name)).otherwise(named)
-    return F.when(bare.isin(*OP_NAMES), bare).otherwise(named)
+    for name in OP_NAMES:
+        spellings = [name, f"OP_{name}", *[n for n, o in OP_NUMBERS.items() if o == name]]
+        named = F.when(bare.isin(*spellings), F.lit(name)).otherwise(named)
+    return named
 
 
 def apply_changes(
