@@ -75,8 +75,12 @@ def pack(
             ["shard", "bin", "doc_id", "piece", "n_pieces", "start", "n_tokens"]
         ]
 
+    # A shard is much work for few bytes, so the number of tasks is not left to their size.
+    spark = docs.sparkSession
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    spread = pieces.select("shard", "doc_id", "piece", "n_pieces", "start", "n_tokens").repartition(tasks, "shard")
     schema = "shard int, bin long, doc_id long, piece int, n_pieces int, start long, n_tokens long"
-    return pieces.select("shard", "doc_id", "piece", "n_pieces", "start", "n_tokens").groupBy("shard").applyInPandas(place, schema)
+    return spread.groupBy("shard").applyInPandas(place, schema)
 
 
 def bin_report(packed: DataFrame, capacity: int, attention: float = ATTENTION) -> DataFrame:
