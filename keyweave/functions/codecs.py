@@ -244,3 +244,13 @@ def _codec(name: str):
 
         return (lambda v: zstandard.ZstdCompressor().compress(v)), (lambda v: zstandard.ZstdDecompressor().decompress(v, max_output_size=1 << 31))
     raise ValueError(f"no such codec: {name}")
+
+
+def encrypt(b: Column, key: bytes) -> Column:
+    """AES in GCM mode with a random start; the key has 16, 24 or 32 bytes."""
+    return F.aes_encrypt(b.cast("binary"), F.lit(bytearray(key)))
+
+
+def decrypt(b: Column, key: bytes) -> Column:
+    """Null for what was not encrypted with the key."""
+    return F.try_aes_decrypt(b, F.lit(bytearray(key)))

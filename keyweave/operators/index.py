@@ -81,7 +81,7 @@ def refresh(index: DataFrame, before: DataFrame, after: DataFrame, index_key: st
 
 def build_inverted(docs: DataFrame, text: str, doc_id: str, pattern: str = "[^A-Za-z0-9]+") -> DataFrame:
     """Pairs of lower-cased word and document."""
-    words = docs.select(F.explode(F.split(F.lower(text), pattern)).alias("w"), F.col(doc_id).alias("d"))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), pattern))).alias("w"), F.col(doc_id).alias("d"))
     return build(words.filter("w <> ''"), "w", "d")
 
 

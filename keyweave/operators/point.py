@@ -314,3 +314,20 @@ def export_merge(tables: Sequence[DataFrame]) -> DataFrame:
     for t in ranked[1:]:
         all_ = all_.unionByName(t)
     return _first_or_last(all_, True)
+
+
+def validate(df: DataFrame) -> DataFrame:
+    """One row: records, null keys, and keys that are held more than once."""
+    per_key = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    return per_key.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("num_records"),
+        F.coalesce(F.sum(F.when(F.col(KEY).isNull(), F.col("n"))), F.lit(0)).alias("null_keys"),
+        F.count_if(F.col(KEY).isNotNull() & (F.col("n") > 1)).alias("repeated_keys"),
+    )
+
+
+def file_info(df: DataFrame) -> DataFrame:
+    """Files a stored table is read from: path, bytes, time of change, rows."""
+    m = F.col("_metadata")
+    files = df.select(m.file_path.alias("path"), m.file_size.alias("size"), m.file_modification_time.alias("changed_at"))
+    return files.groupBy("path", "size", "changed_at").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from keyweave.functions import codecs, hashes, strings, times
 from keyweave.model import sort_keys
 from keyweave.operators import cache, changelog, index, point, reduce, scan, search, shard
-from keyweave.session import table
+from keyweave.session import spread, table
+from keyweave.sources import records
 
 QUERIES, SQL = {}, {}
 
@@ -35,6 +36,10 @@ def _parts(spark, d):
     return table(spark, d, "part").select(F.col("p_name").alias("key")).distinct()
 
 
+def _texts(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def _keys(spark, d, name="lineitem", col="l_orderkey", where="l_quantity >= 49"):
     return table(spark, d, name).filter(where).select(F.col(col).alias("key"))
 
@@ -250,6 +255,23 @@ def export_merge(spark, d):
     return point.export_merge(tables)
 
 
+@query("""SELECT count(*) AS num_records, count(*) - count(user_id) AS null_keys,
+  (SELECT count(*) FROM (SELECT user_id FROM events WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys FROM events""")
+def validate(spark, d):
+    return point.validate(point.kv(table(spark, d, "events"), "user_id", "event_type"))
+
+
+@query("""SELECT n_name || chr(9) || CAST(n_regionkey AS VARCHAR) AS value FROM nation""")
+def tsv_export(spark, d):
+    return records.tsv_lines(point.kv(table(spark, d, "nation"), "n_name", "n_regionkey"))
+
+
+@query("""SELECT split_part(v, chr(9), 1) AS key, substr(v, strpos(v, chr(9)) + 1) AS value
+  FROM (SELECT value_ptr AS v FROM tiny_records) WHERE contains(v, chr(9))""")
+def tsv_import(spark, d):
+    return records.parse_tsv(table(spark, d, "tiny_records").select(F.col("value_ptr").alias("value")))
+
+
 # Ranges and search
 
 
@@ -303,7 +325,7 @@ def _searches():
         name = "search_" + mode.replace("*", "_batch")
 
         def run(spark, d, mode=mode, pattern=pattern):
-            lines = search.to_lines(table(spark, d, "documents"), "text", "doc_id").withColumnRenamed("line", "key")
+            lines = search.to_lines(_texts(spark, d), "text", "doc_id").withColumnRenamed("line", "key")
             return search.search(lines, mode, pattern)
 
         QUERIES[name] = run
@@ -400,7 +422,7 @@ def merge_last(spark, d):
 
 @query("""SELECT w AS key, count(*) AS value FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^A-Za-z0-9]+')) AS w FROM documents) WHERE w <> '' GROUP BY w""")
 def wordcount(spark, d):
-    return reduce.word_count(table(spark, d, "documents"), "text")
+    return reduce.word_count(spread(table(spark, d, "documents").select("text")), "text")
 
 
 # Indices
@@ -464,17 +486,17 @@ _INVERTED = "WITH i AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text)
 
 @query(_INVERTED + "SELECT ikey, pkey FROM i WHERE ikey <> ''")
 def inverted_index(spark, d):
-    return index.build_inverted(table(spark, d, "documents"), "text", "doc_id")
+    return index.build_inverted(_texts(spark, d), "text", "doc_id")
 
 
 @query(_INVERTED + "SELECT pkey FROM i WHERE ikey IN ('road', 'ferry', 'bread') GROUP BY pkey HAVING count(*) = 3")
 def postings_and(spark, d):
-    return index.search_all(index.build_inverted(table(spark, d, "documents"), "text", "doc_id"), ["Road", "ferry", "bread"])
+    return index.search_all(index.build_inverted(_texts(spark, d), "text", "doc_id"), ["Road", "ferry", "bread"])
 
 
 @query(_INVERTED + "SELECT DISTINCT pkey FROM i WHERE ikey IN ('writ', 'lease')")
 def postings_or(spark, d):
-    return index.search_any(index.build_inverted(table(spark, d, "documents"), "text", "doc_id"), ["writ", "lease"])
+    return index.search_any(index.build_inverted(_texts(spark, d), "text", "doc_id"), ["writ", "lease"])
 
 
 # Logs and queues
@@ -678,10 +700,42 @@ def time_formats(spark, d):
     )
 
 
+@query(r"""SELECT log_id, coalesce(CAST(CASE lower(regexp_extract(rec_value, '^[0-9]+([kKmMgG])', 1)) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 WHEN 'g' THEN 1000000000 ELSE 1 END AS BIGINT)
+  * TRY_CAST(regexp_extract(rec_value, '^([0-9]+)', 1) AS BIGINT), 0) AS metric FROM update_log WHERE regexp_matches(rec_value, '^[0-9]{1,9}([kKmMgG]?[^0-9.eEiItTpPkKmMgG \n\t]|$)')""")
+def to_metric_values(spark, d):
+    v = F.col("rec_value")
+    plain = v.rlike(r"^[0-9]{1,9}([kKmMgG]?[^0-9.eEiItTpPkKmMgG \n\t]|$)")
+    return table(spark, d, "update_log").filter(plain).select("log_id", strings.to_int_metric(v).alias("metric"))
+
+
+@query(r"""SELECT log_id, CASE WHEN regexp_matches(rec_key, '(^|[^0-9A-Za-z])lease([^0-9A-Za-z]|$)') THEN
+    length(regexp_extract(rec_key, '^(.*?(?:^|[^0-9A-Za-z]))lease([^0-9A-Za-z]|$)', 1)) ELSE -1 END AS word_at,
+  length(rec_key) - length(replace(rec_key, '0', '')) AS zeros, CAST(levenshtein(rec_key, 'sess/harbour-46') AS INTEGER) AS distance
+  FROM update_log WHERE rec_key IS NOT NULL AND strlen(rec_key) = length(rec_key)""")
+def search_functions(spark, d):
+    k = F.col("rec_key")
+    ascii_only = k.isNotNull() & (F.octet_length(k) == F.length(k))
+    return table(spark, d, "update_log").filter(ascii_only).select(
+        "log_id", strings.word_search(k, "lease").alias("word_at"), F.size(strings.search_whole(k, "0")).cast("long").alias("zeros"),
+        strings.edit_distance(k, "sess/harbour-46", True).alias("distance"),
+    )
+
+
+@query()
+def codec_round_trips(spark, d):
+    """Bytes of the codecs and what they read back, over the whole feed."""
+    k, n = F.col("rec_key"), F.col("seq")
+    pair = codecs.serialize_list(F.array(k.cast("binary"), F.coalesce("rec_value", F.lit("")).cast("binary")))
+    return table(spark, d, "update_log").filter(k.isNotNull()).select(
+        "log_id", F.hex(codecs.int_to_varint(n)).alias("varint"), F.hex(pair).alias("pair"), codecs.first_of_pair(pair).cast("string").alias("first"),
+        strings.unescape_c(strings.escape_c(k)).alias("unescaped"), strings.decode_url(strings.encode_url(k)).alias("unquoted"),
+    )
+
+
 @query()
 def hash_functions(spark, d):
     k = F.col("rec_key")
-    return table(spark, d, "update_log").filter(k.isNotNull()).select(
+    return spread(table(spark, d, "update_log").filter(k.isNotNull()).select("log_id", "rec_key")).select(
         "log_id", hashes.hash_murmur(k).alias("murmur"), hashes.hash_fnv(k).alias("fnv"), hashes.crc(k, 32).alias("crc32"),
         hashes.crc(k, 16).alias("crc16"), hashes.crc(k, 8).alias("crc8"), hashes.adler(k, 32).alias("adler32"), hashes.checksum(k, 8).alias("checksum8"),
     )

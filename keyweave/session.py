@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import logging
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ log = logging.getLogger("keyweave")
 BROADCAST_ROWS = 200_000
 
 _scratch: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -77,5 +81,32 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of all executors, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root, packed = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    folder = f"{scratch_dir(spark)}/keyweave/{sc.applicationId}"
+    fs, path = hadoop_path(spark, f"{folder}/{root.name}.zip")
+    out = fs.create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    _scratch.append((spark, folder))
+    sc.addPyFile(path.toString())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores, for expensive work per row: a scan of fewer splits than the session has
+    cores (one small file, say) is dealt out evenly; a larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
