@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyweave.llm import frequent, mixing, packing, readability, seen, tokens
-from keyweave.session import materialize, table
+from keyweave.session import materialize, spread, table
 
 TOP_K = 25
 
@@ -32,7 +32,7 @@ def p4_errors(spark, d):
 
 
 def _sized(spark, d, *more):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", *more))
     return materialize(docs.select("doc_id", *more, tokens.token_count(F.col("text")).alias("n_tokens")), "sized")
 
 
@@ -67,7 +67,7 @@ def p7_shares(spark, d):
 
 
 def _levels(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return readability.levels(docs, readability.fit_levels(docs, table(spark, d, "reading_labels")))
 
 
@@ -80,7 +80,7 @@ def p8_levels(spark, d):
 
 
 def p8_profile(spark, d):
-    return readability.profile(table(spark, d, "documents"))
+    return readability.profile(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 QUERIES = {

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that a model is fitted on at most, and words it may weigh.
 MAX_LABELLED, MAX_WORDS = 4_000, 2_000
-#: Fewer labelled documents than this fit no model.
-MIN_LABELLED = 60
+#: Fewer labelled documents than this fit no model; more graders of one document count as this many.
+MIN_LABELLED, MAX_GRADERS = 60, 10
 
 # Frequent function words that tell the languages apart.
 FUNCTION_WORDS = {
@@ -153,7 +153,8 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 rows.append((m.language, m.n_sentences, m.n_words, m.n_syllables, *grades(m), median_grade(m)))
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select(F.col(id_col), measured(F.col(text_col)).alias("m")).select(id_col, "m.*")
+    once = measured.asNondeterministic()
+    return docs.select(F.col(id_col), once(F.col(text_col)).alias("m")).select(id_col, "m.*")
 
 
 class Levels(NamedTuple):
@@ -188,7 +189,7 @@ def _word_row(m: Measures, index: dict[str, int]) -> tuple[list[int], np.ndarray
     return [j for j, _ in at], np.sqrt(np.array([n for _, n in at], dtype=float) / max(1, m.n_words)) * _WORD_SCALE
 
 
-def _logistic(a: np.ndarray, targets: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 400) -> np.ndarray:
+def _logistic(a: np.ndarray, targets: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 100) -> np.ndarray:
     """Weighted ridge logistic regressions of all target columns at once, by accelerated gradient."""
     v = np.ones(a.shape[1])
     for _ in range(30):
@@ -208,9 +209,11 @@ def _logistic(a: np.ndarray, targets: np.ndarray, weight: np.ndarray, ridge: flo
     return b
 
 
-def fit_model(ms: list[Measures], grades_of: list[list[int]], *, max_words: int = MAX_WORDS, ridge: float = 1.0) -> Levels | None:
-    """A model from measured texts and the grades given to each; None with too few or all equal grades."""
-    if len(ms) < MIN_LABELLED or len({g for gs in grades_of for g in gs}) < 2:
+def fit_model(ms: list[Measures], counts: list[list[int]], *, max_words: int = MAX_WORDS, ridge: float = 1.0) -> Levels | None:
+    """A model from measured texts and how often each of the grades 1 to 5 was given to them; None with
+    too few texts or all equal grades. A text weighs as its graders, at most MAX_GRADERS."""
+    given = np.array(counts, dtype=float).reshape(len(ms), 5)
+    if len(ms) < MIN_LABELLED or (given.sum(0) > 0).sum() < 2:
         return None
     x = np.array([_formula_row(m) for m in ms])
     center, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
@@ -223,8 +226,9 @@ def fit_model(ms: list[Measures], grades_of: list[list[int]], *, max_words: int
         a[i, :head] = _by_language((x[i] - center) / scale, m.language)
         at, shares = _word_row(m, index)
         a[i, [head + j for j in at]] = shares
-    targets = np.array([[np.mean([g >= k for g in gs]) for k in (2, 3, 4, 5)] for gs in grades_of])
-    b = _logistic(a, targets, np.array([float(len(gs)) for gs in grades_of]), ridge)
+    graders = given.sum(1)
+    targets = np.cumsum(given[:, ::-1], axis=1)[:, 3::-1] / np.maximum(graders, 1)[:, None]
+    b = _logistic(a, targets, np.minimum(graders, MAX_GRADERS), ridge)
     return Levels(center, scale, b[:head], index, b[head:])
 
 
@@ -247,7 +251,7 @@ def fit_levels(
     outside 1 to 5 not at all, several graders of a document are averaged. Of the labelled documents
     ``max_labelled`` are used, chosen by a hash of their id."""
     given = labels.filter("grade BETWEEN 1 AND 5").select(F.col("doc_id").alias("id"), "grader", "grade").distinct()
-    per_doc = given.groupBy("id").agg(F.sort_array(F.collect_list(F.col("grade").cast("int"))).alias("grades"))
+    per_doc = given.groupBy("id").agg(F.array(*[F.count_if(F.col("grade") == g) for g in range(1, 6)]).alias("grades"))
     chosen = per_doc.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id")  # max_labelled rows
 
@@ -265,7 +269,7 @@ def fit_levels(
                 }
             )
 
-    schema = "id long, language string, numbers array<long>, words array<string>, counts array<long>, grades array<int>"
+    schema = "id long, language string, numbers array<long>, words array<string>, counts array<long>, grades array<long>"
     sample = sorted(rows.mapInPandas(measured, schema).collect(), key=lambda r: r.id)
     ms = [Measures(r.language, *r.numbers, Counter(dict(zip(r.words, r.counts)))) for r in sample]
     return fit_model(ms, [list(r.grades) for r in sample])
@@ -286,4 +290,6 @@ def levels(docs: DataFrame, model: Levels | None, *, id_col: str = "doc_id", tex
                 }
             )
 
-    return docs.select(F.col(id_col), leveled(F.col(text_col)).alias("m")).select(id_col, "m.*")
+    # Not deterministic for the optimizer: a filter on the level must not run the function twice.
+    once = leveled.asNondeterministic()
+    return docs.select(F.col(id_col), once(F.col(text_col)).alias("m")).select(id_col, "m.*")
