@@ -34,67 +34,87 @@ def normalize_op(op: Column) -> Column:
     return named
 
 
-def apply_changes(
-    changes: DataFrame,
-    *,
-    scope: Sequence[str],
-    key: str,
-    seq: str,
-    op: str,
-    fields: Sequence[str] = (),
-    base: DataFrame | None = None,
-) -> DataFrame:
-    """State of all records after the feed: ``scope..., key, fields..., seq``.
+def _names(scope: Sequence[str], fields: Sequence[str]) -> tuple[list[str], list[str]]:
+    return [f"s{i}" for i in range(len(scope))], [f"f{i}" for i in range(len(fields))]
 
-    ``scope`` names a database (CLEAR removes all records of one), ``seq`` is the true order inside
-    a scope. ``base`` (``scope..., key, fields...``) holds records from before the feed; they get a
-    null ``seq``. ``seq`` of the result is that of the latest change that wrote the record.
 
-    Defined cases: rows with a null ``seq``, an unknown or null ``op``, or SET/PATCH/REMOVE without
-    a key change nothing; a null scope column is a database of its own; a field that the last
-    replacement left null is null; of several changes with equal ``seq`` on one record a delete or
-    clear wins, and among values the greatest. An empty feed returns ``base`` (or nothing). Columns
-    not named here are ignored, whatever they are called.
-    """
-    scope, fields = list(scope), list(fields)
+def _latest(seq: str, cond: str) -> Column:
+    return F.expr(f"max({seq}) FILTER (WHERE {cond})")
+
+
+def _reduced(changes: DataFrame, scope: Sequence[str], key: str, seq: str, op: str, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(a row per record, a row per cleared database), as :func:`reduce_changes` describes them."""
+    s, f = _names(scope, fields)
     plain = changes.select(
-        *[F.col(c).alias(f"s{i}") for i, c in enumerate(scope)],
+        *[F.col(c).alias(n) for c, n in zip(scope, s)],
         F.col(key).alias("k"),
         F.col(seq).cast("long").alias("q"),
         normalize_op(F.col(op)).alias("o"),
-        *[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)],
+        *[F.col(c).alias(n) for c, n in zip(fields, f)],
     ).filter(F.col("q").isNotNull())
-    s = [f"s{i}" for i in range(len(scope))]
     keyed = plain.filter(F.col("k").isNotNull() & F.col("o").isin("SET", "PATCH", "REMOVE"))
-    if base is not None:
-        old = base.select(
-            *[F.col(c).alias(n) for c, n in zip(scope, s)],
-            F.col(key).alias("k"),
-            F.lit(-(2**63)).alias("q"),
-            F.lit("SET").alias("o"),
-            *[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)],
-        ).filter(F.col("k").isNotNull())
-        keyed = keyed.unionByName(old)
-
-    def latest(cond: str) -> Column:
-        return F.expr(f"max(q) FILTER (WHERE {cond})")
-
-    aggs = [latest("o <> 'REMOVE'").alias("w"), latest("o = 'SET'").alias("r"), latest("o = 'REMOVE'").alias("d")]
-    for i in range(len(fields)):
-        sets = f"o <> 'REMOVE' AND f{i} IS NOT NULL"
-        aggs += [F.expr(f"max_by(f{i}, struct(q, f{i})) FILTER (WHERE {sets})").alias(f"v{i}"), latest(sets).alias(f"u{i}")]
-    state = keyed.groupBy(*s, "k").agg(*aggs)
+    aggs = [_latest("q", "o <> 'REMOVE'").alias("w"), _latest("q", "o = 'SET'").alias("r"), _latest("q", "o = 'REMOVE'").alias("d")]
+    for i, n in enumerate(f):
+        sets = f"o <> 'REMOVE' AND {n} IS NOT NULL"
+        aggs += [F.expr(f"max_by({n}, struct(q, {n})) FILTER (WHERE {sets})").alias(f"v{i}"), _latest("q", sets).alias(f"u{i}")]
+    state = keyed.groupBy(*s, "k").agg(*aggs).withColumn("c", F.lit(None).cast("long"))
+    return state, plain.filter("o = 'CLEAR'").groupBy(*s).agg(F.max("q").alias("c"))
+
+
+def reduce_changes(
+    changes: DataFrame, *, scope: Sequence[str], key: str, seq: str, op: str, fields: Sequence[str] = ()
+) -> DataFrame:
+    """Mergeable state of a feed: a row per record (``s0..., k``: latest write ``w``, replacement ``r``,
+    delete ``d``, per field its latest value ``v0...`` and that one's sequence ``u0...``) and a row with
+    a null key per cleared database (``c``). States of parts of a feed merge in any order."""
+    records, cleared = _reduced(changes, scope, key, seq, op, fields)
+    return records.unionByName(cleared, allowMissingColumns=True)
+
+
+def base_state(base: DataFrame, *, scope: Sequence[str], key: str, fields: Sequence[str] = ()) -> DataFrame:
+    """State of records from before a feed: written earlier than any change."""
+    s, _ = _names(scope, fields)
+    start = F.lit(-(2**63))
+    return base.filter(F.col(key).isNotNull()).select(
+        *[F.col(c).alias(n) for c, n in zip(scope, s)],
+        F.col(key).alias("k"),
+        start.alias("w"),
+        start.alias("r"),
+        F.lit(None).cast("long").alias("d"),
+        *[x for i, c in enumerate(fields) for x in (F.col(c).alias(f"v{i}"), F.when(F.col(c).isNotNull(), start).alias(f"u{i}"))],
+        F.lit(None).cast("long").alias("c"),
+    )
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state from the union of several."""
+    cols = states.columns
+    s = [c for c in cols if c[0] == "s"]
+    aggs = [F.max(c).alias(c) for c in ("w", "r", "d")]
+    for i in range(sum(c[0] == "v" for c in cols)):
+        aggs += [F.expr(f"max_by(v{i}, struct(u{i}, v{i})) FILTER (WHERE u{i} IS NOT NULL)").alias(f"v{i}"), F.max(f"u{i}").alias(f"u{i}")]
+    return states.groupBy(*s, "k").agg(*aggs, F.max("c").alias("c")).select(*cols)
+
+
+def current_records(state: DataFrame, *, scope: Sequence[str], key: str, seq: str, fields: Sequence[str] = ()) -> DataFrame:
+    """The records that exist in a state: ``scope..., key, fields..., seq``."""
+    return _alive(state.filter("k IS NOT NULL"), state.filter("k IS NULL"), scope, key, seq, fields)
+
+
+def _alive(records: DataFrame, cleared: DataFrame, scope: Sequence[str], key: str, seq: str, fields: Sequence[str]) -> DataFrame:
+    s, _ = _names(scope, fields)
     # One row per cleared database; AQE broadcasts it only if it measures small.
-    cleared = plain.filter("o = 'CLEAR'").groupBy(*[F.col(n).alias(f"c{n}") for n in s]).agg(F.max("q").alias("c"))
-    on = F.lit(True)
-    for n in s:
-        on = on & state[n].eqNullSafe(cleared[f"c{n}"])
+    cleared = cleared.select(*[F.col(n).alias(f"c{n}") for n in s], F.col("c").alias("cleared_at"))
+    records = records.drop("c")
     if s:
-        state = state.join(cleared, on, "left")
+        on = F.lit(True)
+        for n in s:
+            on = on & records[n].eqNullSafe(cleared[f"c{n}"])
+        records = records.join(cleared, on, "left")
     else:
-        state = state.withColumn("c", cleared.select(F.max("c")).scalar())
-    barrier = F.greatest("d", "c")
-    alive = state.filter(F.col("w").isNotNull() & (barrier.isNull() | (F.col("w") > barrier)))
+        records = records.withColumn("cleared_at", cleared.select(F.max("cleared_at")).scalar())
+    barrier = F.greatest("d", "cleared_at")
+    alive = records.filter(F.col("w").isNotNull() & (barrier.isNull() | (F.col("w") > barrier)))
     values = [
         F.when(
             (barrier.isNull() | (F.col(f"u{i}") > barrier)) & (F.col("r").isNull() | (F.col(f"u{i}") >= F.col("r"))),
@@ -108,3 +128,31 @@ def apply_changes(
         *values,
         F.when(F.col("w") > F.lit(-(2**63)), F.col("w")).alias(seq),
     )
+
+
+def apply_changes(
+    changes: DataFrame,
+    *,
+    scope: Sequence[str],
+    key: str,
+    seq: str,
+    op: str,
+    fields: Sequence[str] = (),
+    base: DataFrame | None = None,
+) -> DataFrame:
+    """State of all records after the feed: ``scope..., key, fields..., seq``.
+
+    ``scope`` names a database (CLEAR removes all records of one), ``seq`` is the true order inside
+    a scope. ``base`` (``scope..., key, fields...``) holds records from before the feed; they get a
+    null ``seq``. ``seq`` of the result is that of the latest change that wrote the record.
+
+    Defined cases: rows with a null ``seq``, an unknown or null ``op``, or SET/PATCH/REMOVE without
+    a key change nothing; a null scope column is a database of its own; a field that the last
+    replacement left null is null; of several changes with equal ``seq`` on one record a delete or
+    clear wins, and among values the greatest. An empty feed returns ``base`` (or nothing). Columns
+    not named here are ignored, whatever they are called.
+    """
+    records, cleared = _reduced(changes, scope, key, seq, op, fields)
+    if base is not None:
+        records = merge_states(records.unionByName(base_state(base, scope=scope, key=key, fields=fields)))
+    return _alive(records, cleared, scope, key, seq, fields)
