@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keyweave.model import Status, StatusError, sort_keys
 from keyweave.operators.point import KEY
+from keyweave.session import materialize
 
 MODES = ("upper", "upperinc", "lower", "lowerinc")
 
@@ -59,3 +60,21 @@ def previous_record(df: DataFrame, current, order: str = "lexical", key: str = K
 def in_order(df: DataFrame, order: str = "lexical", key: str = KEY) -> DataFrame:
     """All records in key order: a range exchange and a sort, also across shards."""
     return df.orderBy(*sort_keys(order, F.col(key)), key)
+
+
+def neighbours(df: DataFrame, order: str = "lexical", key: str = KEY) -> DataFrame:
+    """Every key with the one before and after it: ``key, previous, next`` (null at the ends).
+
+    Keys are range-partitioned; windows run inside the ranges, and the ranges' ends, one row each, are
+    stitched together. Null keys are left out; equal keys are neighbours of each other.
+    """
+    keys = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"))
+    ranged = keys.repartitionByRange(*sort_keys(order, F.col("k")), "k").withColumn("part", F.spark_partition_id())
+    placed = materialize(ranged, "ranges").withColumn("at", F.struct(*[c.alias(f"a{i}") for i, c in enumerate([*sort_keys(order, F.col("k")), F.col("k")])]))
+    ends = placed.groupBy("part").agg(F.min_by("k", "at").alias("first"), F.max_by("k", "at").alias("last"))
+    across = Window.partitionBy(F.lit(0)).orderBy("part")  # one row per shuffle partition
+    ends = ends.select(F.col("part").alias("p"), F.lag("last").over(across).alias("before"), F.lead("first").over(across).alias("after"))
+    inside = Window.partitionBy("part").orderBy("at")
+    near = placed.withColumn("l", F.lag("k").over(inside)).withColumn("r", F.lead("k").over(inside))
+    joined = near.join(ends, F.col("part") == F.col("p"))
+    return joined.select(F.col("k").alias(key), F.coalesce("l", "before").alias("previous"), F.coalesce("r", "after").alias("next"))

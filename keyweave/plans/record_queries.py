@@ -299,6 +299,11 @@ def scan_last(spark, d):
     return scan.last(_parts(spark, d), 5)
 
 
+@query("SELECT key, lag(key) OVER (ORDER BY key) AS previous, lead(key) OVER (ORDER BY key) AS next FROM (SELECT DISTINCT p_name AS key FROM part)")
+def scan_neighbours(spark, d):
+    return scan.neighbours(_parts(spark, d))
+
+
 @query("SELECT key, CAST(row_number() OVER (ORDER BY key) AS INTEGER) AS rank FROM (SELECT DISTINCT p_name AS key FROM part WHERE p_name >= 'b') ORDER BY rank LIMIT 4")
 def scan_jump(spark, d):
     return scan.jump(_parts(spark, d), "b", 4)

@@ -92,6 +92,15 @@ def test_ranges_padded(spark):
     assert keys(point.get_by_index(df, 9)) == ["00000010"] and keys(point.get_by_index(df, 100)) == [] and keys(point.get_by_index(df, -1)) == []
 
 
+def test_neighbours(spark):
+    names = sorted({f"k{random.Random(i).randrange(500)}" for i in range(200)})
+    got = {r.key: (r.previous, r.next) for r in scan.neighbours(kv(spark, [(n, "") for n in names] + [(None, "")])).collect()}
+    assert got == {n: (a, b) for n, a, b in zip(names, [None, *names], [*names[1:], None])}
+    tens = scan.neighbours(kv(spark, [("10", ""), ("9", ""), ("2", "")]), "decimal").collect()
+    assert {r.key: r.next for r in tens} == {"2": "9", "9": "10", "10": None}
+    assert scan.neighbours(kv(spark, [("a", "")]).limit(0)).collect() == []
+
+
 def test_orders(spark):
     df = kv(spark, [("10", ""), ("9", ""), ("-3", ""), ("x", "")])
     assert keys(scan.in_order(df, "decimal")) == ["-3", "x", "9", "10"]

@@ -193,3 +193,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.strip() == "1"
     assert run(spark, ["search", p, "foo", "x"]) == 1
     assert {r.key for r in restore(spark, p).collect()} == {"a", "b"}
+
+
+def test_signals(spark, tmp_path):
+    from keyweave.streaming.signals import Signal
+
+    src, counted = f"{tmp_path}/src", []
+    spark.createDataFrame([("q", 1, 32, 1, None)], queues.SCHEMA).write.parquet(src)
+    signal = Signal(on_rows=lambda name, n: counted.append(n)).attach(spark)
+    try:
+        assert not signal.wait(0.01)
+        queues.poll(queues.tail(spark, src), lambda df, number: df.count() and None, f"{tmp_path}/cp").awaitTermination()
+        assert signal.wait(30, 1)  # the rows, and the end
+    finally:
+        signal.detach(spark)
+    assert sum(counted) == 1
