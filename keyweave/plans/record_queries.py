@@ -468,7 +468,7 @@ def index_add(spark, d):
     return index.add(_by_nation(spark, d).select(F.col("ikey").cast("long").alias("ikey"), "pkey"), more)
 
 
-@query("SELECT c_nationkey AS ikey, c_custkey AS pkey FROM customer EXCEPT SELECT event_id % 25, user_id FROM events")
+@query("SELECT c_nationkey AS ikey, c_custkey AS pkey FROM customer EXCEPT SELECT CAST(event_id % 25 AS INTEGER), user_id FROM events")
 def index_remove(spark, d):
     gone = table(spark, d, "events").select((F.col("event_id") % 25).alias("ikey"), F.col("user_id").alias("pkey"))
     return index.remove(_by_nation(spark, d), gone)
@@ -656,7 +656,7 @@ def order_pairfloatbigendian(spark, d):
 
 
 @query(r"""SELECT log_id, string_split(rec_key, ':') AS parts, replace(rec_key, '00', '<0>') AS replaced, translate(rec_key, 'aeiou', 'AEI') AS mapped,
-  translate(rec_key, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered, strpos(rec_key, 'ss') - 1 AS found_at,
+  translate(rec_key, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered, CAST(strpos(rec_key, 'ss') - 1 AS INTEGER) AS found_at,
   contains(rec_key, ':0') AS has, starts_with(rec_key, 'rate') AS begins, suffix(rec_key, 'root') AS ends,
   regexp_replace(rec_key, '^[\x00- ]+|[\x00- ]+$', '', 'g') AS stripped, lower(hex(encode(rec_key))) AS hexed
   FROM update_log WHERE rec_key IS NOT NULL""")
@@ -713,8 +713,8 @@ def to_metric_values(spark, d):
     return table(spark, d, "update_log").filter(plain).select("log_id", strings.to_int_metric(v).alias("metric"))
 
 
-@query(r"""SELECT log_id, CASE WHEN regexp_matches(rec_key, '(^|[^0-9A-Za-z])lease([^0-9A-Za-z]|$)') THEN
-    length(regexp_extract(rec_key, '^(.*?(?:^|[^0-9A-Za-z]))lease([^0-9A-Za-z]|$)', 1)) ELSE -1 END AS word_at,
+@query(r"""SELECT log_id, CAST(CASE WHEN regexp_matches(rec_key, '(^|[^0-9A-Za-z])lease([^0-9A-Za-z]|$)') THEN
+    length(regexp_extract(rec_key, '^(.*?(?:^|[^0-9A-Za-z]))lease([^0-9A-Za-z]|$)', 1)) ELSE -1 END AS INTEGER) AS word_at,
   length(rec_key) - length(replace(rec_key, '0', '')) AS zeros, CAST(levenshtein(rec_key, 'sess/harbour-46') AS INTEGER) AS distance
   FROM update_log WHERE rec_key IS NOT NULL AND strlen(rec_key) = length(rec_key)""")
 def search_functions(spark, d):
