@@ -82,16 +82,23 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers of all executors, once per application."""
+    """Make this package importable by the Python workers of all executors, once per application.
+
+    Without a shared folder it must be installed there."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
+    try:
+        base = scratch_dir(spark)
+    except RuntimeError:
+        log.info("no shared folder: the package is not shipped")
+        return
     root, packed = Path(__file__).parent, io.BytesIO()
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root)}")
-    folder = f"{scratch_dir(spark)}/keyweave/{sc.applicationId}"
+    folder = f"{base}/keyweave/{sc.applicationId}"
     fs, path = hadoop_path(spark, f"{folder}/{root.name}.zip")
     out = fs.create(path, True)
     out.write(bytearray(packed.getvalue()))
