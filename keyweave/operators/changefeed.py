@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyweave.session import materialize
+
 # Numbers of the change kinds as they appear in feeds.
 OP_NUMBERS = {"0": "VOID", "1": "SET", "2": "REMOVE", "3": "CLEAR"}
 #: SET replaces a record, PATCH sets only its non-null fields.
@@ -103,7 +105,7 @@ def current_records(state: DataFrame, *, scope: Sequence[str], key: str, seq: st
 
 def _alive(records: DataFrame, cleared: DataFrame, scope: Sequence[str], key: str, seq: str, fields: Sequence[str]) -> DataFrame:
     s, _ = _names(scope, fields)
-    # One row per cleared database; AQE broadcasts it only if it measures small.
+    # One row per cleared database; it is broadcast only if it measures small.
     cleared = cleared.select(*[F.col(n).alias(f"c{n}") for n in s], F.col("c").alias("cleared_at"))
     records = records.drop("c")
     if s:
@@ -155,4 +157,8 @@ def apply_changes(
     records, cleared = _reduced(changes, scope, key, seq, op, fields)
     if base is not None:
         records = merge_states(records.unionByName(base_state(base, scope=scope, key=key, fields=fields)))
+    if scope:
+        # Written first, so that its size is known when the join is planned: a small one never makes
+        # the records move again.
+        cleared = materialize(cleared, "cleared")
     return _alive(records, cleared, scope, key, seq, fields)
