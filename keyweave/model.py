@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from keyweave.functions import codecs, strings
 
+#: Between words: all but letters, combining marks and digits of any script.
+NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
+
 
 class Status(StrEnum):
     """Outcome of an operation on a record; in frames it is a string column."""

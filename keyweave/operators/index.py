@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.model import sort_keys
+from keyweave.model import NO_WORD, sort_keys
 
 IKEY, PKEY = "ikey", "pkey"
 
@@ -79,8 +79,8 @@ def refresh(index: DataFrame, before: DataFrame, after: DataFrame, index_key: st
     return add(remove(index, old.exceptAll(new)), new.exceptAll(old))
 
 
-def build_inverted(docs: DataFrame, text: str, doc_id: str, pattern: str = "[^A-Za-z0-9]+") -> DataFrame:
-    """Pairs of lower-cased word and document."""
+def build_inverted(docs: DataFrame, text: str, doc_id: str, pattern: str = NO_WORD) -> DataFrame:
+    """Pairs of lower-cased word and document; words are letters, marks and digits of any script."""
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), pattern))).alias("w"), F.col(doc_id).alias("d"))
     return build(words.filter("w <> ''"), "w", "d")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.functions import codecs, strings
-from keyweave.model import Status, StatusError
+from keyweave.model import NO_WORD, Status, StatusError
 from keyweave.operators.point import KEY, VALUE
 
 
@@ -116,7 +116,7 @@ def reduce_with(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sch
     return rows.groupBy(KEY).applyInPandas(run, schema)
 
 
-def word_count(docs: DataFrame, text: str, pattern: str = "[^A-Za-z0-9]+") -> DataFrame:
-    """Map to (word, 1) and reduce to totals: ``key, value``."""
+def word_count(docs: DataFrame, text: str, pattern: str = NO_WORD) -> DataFrame:
+    """Map to (word, 1) and reduce to totals: ``key, value``; words as in :func:`index.build_inverted`."""
     words = docs.select(F.explode(F.split(F.lower(text), pattern)).alias(KEY)).filter(F.col(KEY) != "")
     return words.groupBy(KEY).agg(F.count(F.lit(1)).alias(VALUE))

@@ -36,6 +36,9 @@ def _parts(spark, d):
     return table(spark, d, "part").select(F.col("p_name").alias("key")).distinct()
 
 
+_NO_ASCII_WORD = "[^A-Za-z0-9]+"
+
+
 def _texts(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -427,6 +430,12 @@ def merge_last(spark, d):
 
 @query("""SELECT w AS key, count(*) AS value FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^A-Za-z0-9]+')) AS w FROM documents) WHERE w <> '' GROUP BY w""")
 def wordcount(spark, d):
+    """Words of ASCII letters and digits, as its SQL; ``wordcount_unicode`` counts whole words."""
+    return reduce.word_count(spread(table(spark, d, "documents").select("text")), "text", _NO_ASCII_WORD)
+
+
+@query(r"""SELECT w AS key, count(*) AS value FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+')) AS w FROM documents) WHERE w <> '' GROUP BY w""")
+def wordcount_unicode(spark, d):
     return reduce.word_count(spread(table(spark, d, "documents").select("text")), "text")
 
 
@@ -491,17 +500,23 @@ _INVERTED = "WITH i AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text)
 
 @query(_INVERTED + "SELECT ikey, pkey FROM i WHERE ikey <> ''")
 def inverted_index(spark, d):
+    """Words of ASCII letters and digits, as its SQL; ``inverted_index_unicode`` indexes whole words."""
+    return index.build_inverted(_texts(spark, d), "text", "doc_id", _NO_ASCII_WORD)
+
+
+@query(r"""SELECT * FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+')) AS ikey, doc_id AS pkey FROM documents) WHERE ikey <> ''""")
+def inverted_index_unicode(spark, d):
     return index.build_inverted(_texts(spark, d), "text", "doc_id")
 
 
 @query(_INVERTED + "SELECT pkey FROM i WHERE ikey IN ('road', 'ferry', 'bread') GROUP BY pkey HAVING count(*) = 3")
 def postings_and(spark, d):
-    return index.search_all(index.build_inverted(_texts(spark, d), "text", "doc_id"), ["Road", "ferry", "bread"])
+    return index.search_all(index.build_inverted(_texts(spark, d), "text", "doc_id", _NO_ASCII_WORD), ["Road", "ferry", "bread"])
 
 
 @query(_INVERTED + "SELECT DISTINCT pkey FROM i WHERE ikey IN ('writ', 'lease')")
 def postings_or(spark, d):
-    return index.search_any(index.build_inverted(_texts(spark, d), "text", "doc_id"), ["writ", "lease"])
+    return index.search_any(index.build_inverted(_texts(spark, d), "text", "doc_id", _NO_ASCII_WORD), ["writ", "lease"])
 
 
 # Logs and queues

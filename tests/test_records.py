@@ -309,6 +309,16 @@ def test_inverted_index(spark):
     assert sorted(r.pkey for r in index.search_any(idx, ["girl", "boy"]).collect()) == [1, 2, 3]
 
 
+def test_words_of_other_letters_stay_whole(spark):
+    docs = spark.createDataFrame([(0, "Für die Größe, FÜR uns."), (1, "L'été à Nîmes: e\u0301te\u0301 2024")], "doc_id long, text string")
+    idx = index.build_inverted(docs, "text", "doc_id")
+    assert [r.pkey for r in index.search_any(idx, ["für"]).collect()] == [0]
+    assert [r.pkey for r in index.search_all(idx, ["Été", "nîmes", "e\u0301te\u0301"]).collect()] == [1]
+    assert index.search_any(idx, ["f", "r", "gr", "t", "n", "te"]).count() == 0
+    want = {"für": 2, "die": 1, "größe": 1, "uns": 1, "l": 1, "été": 1, "à": 1, "nîmes": 1, "e\u0301te\u0301": 1, "2024": 1}
+    assert as_dict(reduce.word_count(docs, "text")) == want
+
+
 # Logs, cache, shards
 
 
