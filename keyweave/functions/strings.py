@@ -60,18 +60,23 @@ def to_int(s: Column, default: int = 0) -> Column:
 
 
 def to_int_metric(s: Column, default: int = 0) -> Column:
-    """As :func:`to_int`, with a fraction and a suffix k, m, g, t, p or e (1000) or ki, mi ... (1024)."""
+    """As :func:`to_int`, with a fraction and a suffix k, m, g, t, p or e (1000) or ki, mi ... (1024).
+
+    Exact, cut off towards zero; of a fraction the first 18 digits count, which is all of it that
+    can matter to suffixes of 1000."""
     p = _GAP + r"([-+]?)[\x00-\x20]*([0-9]*)(?:\.([0-9]*))?[\x00-\x20]*([kKmMgGtTpPeE]?)([iI]?)"
     whole, frac = F.regexp_extract(s, p, 2), F.coalesce(F.regexp_extract(s, p, 3), F.lit(""))
     unit, binary = F.lower(F.regexp_extract(s, p, 4)), F.regexp_extract(s, p, 5) != ""
-    power = F.lit(1.0)
+    power = F.lit(1)
     for u, e in METRIC.items():
-        power = F.when(unit == u, F.when(binary, F.lit(1024.0**e)).otherwise(F.lit(1000.0**e))).otherwise(power)
-    number = F.concat(F.when(whole == "", "0").otherwise(whole), F.lit("."), F.when(frac == "", "0").otherwise(frac)).try_cast("double") * power
+        power = F.when(unit == u, F.when(binary, F.lit(1024**e)).otherwise(F.lit(1000**e))).otherwise(power)
+    power = power.cast("decimal(19,0)")
+    digits = F.regexp_replace(whole, "^0+", "")
+    n = F.when(F.length(digits) > 19, F.lit("9" * 19)).when(digits == "", F.lit("0")).otherwise(digits).cast("decimal(19,0)") * power
+    part = F.concat(F.lit("0."), F.left(frac, F.lit(18)), F.lit("0")).cast("decimal(18,18)") * power
+    number = n + F.floor(part)
     signed = F.when(F.regexp_extract(s, p, 1) == "-", -number).otherwise(number)
-    bounded = F.when(signed >= F.lit(float(2**63)), F.lit(I64_MAX)).when(signed <= F.lit(-float(2**63)), F.lit(I64_MIN)).otherwise(signed.try_cast("long"))
-    plain = (unit == "") & (frac == "")
-    value = F.when((whole == "") & (frac == ""), F.lit(default).cast("long")).when(plain, to_int(s, default)).otherwise(bounded)
+    value = F.when((whole == "") & (frac == ""), F.lit(default).cast("long")).otherwise(_saturate(signed))
     return F.when(s.isNotNull(), value)
 
 

@@ -723,11 +723,18 @@ def time_formats(spark, d):
 @query(r"""SELECT log_id, coalesce(CAST(CASE lower(regexp_extract(rec_value, '^[0-9]+([kKmMgG])', 1)) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 WHEN 'g' THEN 1000000000 ELSE 1 END AS BIGINT)
   * TRY_CAST(regexp_extract(rec_value, '^([0-9]+)', 1) AS BIGINT), 0) AS metric FROM update_log WHERE regexp_matches(rec_value, '^[0-9]{1,9}([kKmMgG]?[^0-9.eEiItTpPkKmMgG \n\t]|$)')""")
 def to_metric_values(spark, d):
+    """The values that its SQL can parse; ``to_metric_all`` runs over all."""
     v = F.col("rec_value")
     plain = v.rlike(r"^[0-9]{1,9}([kKmMgG]?[^0-9.eEiItTpPkKmMgG \n\t]|$)")
     return table(spark, d, "update_log").filter(plain).select("log_id", strings.to_int_metric(v).alias("metric"))
 
 
+@query()
+def to_metric_all(spark, d):
+    """Every row, whatever its spelling; null values give null."""
+    return table(spark, d, "update_log").select("log_id", strings.to_int_metric(F.col("rec_value")).alias("metric"))
+
+
 @query(r"""SELECT log_id, CAST(CASE WHEN regexp_matches(rec_key, '(^|[^0-9A-Za-z])lease([^0-9A-Za-z]|$)') THEN
     length(regexp_extract(rec_key, '^(.*?(?:^|[^0-9A-Za-z]))lease([^0-9A-Za-z]|$)', 1)) ELSE -1 END AS INTEGER) AS word_at,
   length(rec_key) - length(replace(rec_key, '0', '')) AS zeros, CAST(levenshtein(rec_key, 'sess/harbour-46') AS INTEGER) AS distance

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from keyweave.functions import codecs as C
 from keyweave.functions import hashes as H
 from keyweave.functions import strings as S
@@ -190,3 +191,48 @@ def test_parse_dates(spark):
     assert math.isnan(one(spark, T.parse_digits, ["12"])[0])
     base = F.lit(1632552223000)
     assert one(spark, lambda c: T.parse_relative(c, base), ["-7D", "+0.5H", "1000", "5s"]) == [1631947423000, 1632554023000, 1000, 5000]
+
+
+def metric(text):
+    """Brute force, one character at a time, in whole numbers."""
+    if text is None:
+        return None
+    i, whole, frac, sign = 0, "", "", 1
+
+    def blanks(i):
+        while i < len(text) and text[i] <= " ":
+            i += 1
+        return i
+
+    i = blanks(0)
+    if text[i : i + 1] in ("-", "+"):
+        sign, i = (-1 if text[i] == "-" else 1), i + 1
+    i = blanks(i)
+    while text[i : i + 1] and text[i] in "0123456789":
+        whole, i = whole + text[i], i + 1
+    if text[i : i + 1] == ".":
+        i += 1
+        while text[i : i + 1] and text[i] in "0123456789":
+            frac, i = frac + text[i], i + 1
+    if not whole and not frac:
+        return 0
+    i = blanks(i)
+    unit = "kmgtpe".find(text[i : i + 1].lower()) + 1 if text[i : i + 1] else 0
+    power = (1024 if text[i + 1 : i + 2] in ("i", "I") else 1000) ** unit
+    n = int((whole + frac) or "0") * power // 10 ** len(frac)
+    return max(-(2**63), min(2**63 - 1, sign * n))
+
+
+def test_metric_numbers_of_all_spellings(spark):
+    numbers = ["7", "0", "2404.06", "1.001", "2.3", "0.001", ".5", "12.", "3036401066", "0009", "9007199254740993", "9223372036854775807", "9223372036854775808", "9" * 25, "0.999999999999999999", "", "."]
+    units = ["", *[b + i for b in "kmgtpeKMGTPE" for i in ("", "i", "I")], "x", "i", ":1"]
+    values = [None, *[f"{sign}{n}{gap}{u}" for sign in ("", "-", "+", " - ", "\t") for n in numbers for gap in ("", " ") for u in units]]
+    for v, got in zip(values, one(spark, S.to_int_metric, values)):
+        assert got == metric(v), repr(v)
+
+
+def test_metric_query_runs_over_every_row(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/update_log.parquet").select("log_id", "rec_value").collect()
+    got = {r.log_id: r.metric for r in entry.queries()["to_metric_all"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {r.log_id: metric(r.rec_value) for r in rows}
+    assert len(got) == len(rows) and any(r.rec_value and "." in r.rec_value for r in rows)
