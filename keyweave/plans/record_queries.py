@@ -740,14 +740,28 @@ def to_metric_all(spark, d):
   length(rec_key) - length(replace(rec_key, '0', '')) AS zeros, CAST(levenshtein(rec_key, 'sess/harbour-46') AS INTEGER) AS distance
   FROM update_log WHERE rec_key IS NOT NULL AND strlen(rec_key) = length(rec_key)""")
 def search_functions(spark, d):
+    """The ASCII keys, on which its SQL counts as the operators do; ``search_functions_bytes`` runs over all."""
     k = F.col("rec_key")
     ascii_only = k.isNotNull() & (F.octet_length(k) == F.length(k))
-    return table(spark, d, "update_log").filter(ascii_only).select(
+    return _searched(table(spark, d, "update_log").filter(ascii_only))
+
+
+def _searched(rows):
+    k = F.col("rec_key")
+    return rows.select(
         "log_id", strings.word_search(k, "lease").alias("word_at"), F.size(strings.search_whole(k, "0")).cast("long").alias("zeros"),
         strings.edit_distance(k, "sess/harbour-46", True).alias("distance"),
     )
 
 
+@query(r"""SELECT log_id, CAST(CASE WHEN regexp_matches(rec_key, '(^|[^0-9A-Za-z])lease([^0-9A-Za-z]|$)') THEN
+    strlen(regexp_extract(rec_key, '(?s)^(.*?(?:^|[^0-9A-Za-z]))lease([^0-9A-Za-z]|$)', 1)) ELSE -1 END AS INTEGER) AS word_at,
+  strlen(rec_key) - strlen(replace(rec_key, '0', '')) AS zeros, CAST(levenshtein(rec_key, 'sess/harbour-46') AS INTEGER) AS distance
+  FROM update_log WHERE rec_key IS NOT NULL""")
+def search_functions_bytes(spark, d):
+    return _searched(table(spark, d, "update_log").filter("rec_key IS NOT NULL"))
+
+
 @query()
 def codec_round_trips(spark, d):
     """Bytes of the codecs and what they read back, over the whole feed."""

@@ -236,3 +236,24 @@ def test_metric_query_runs_over_every_row(spark):
     got = {r.log_id: r.metric for r in entry.queries()["to_metric_all"](spark, "/root/testdata/sf0.01").collect()}
     assert got == {r.log_id: metric(r.rec_value) for r in rows}
     assert len(got) == len(rows) and any(r.rec_value and "." in r.rec_value for r in rows)
+
+
+def test_search_query_counts_bytes_of_every_key(spark, tmp_path):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def word_at(b, word=b"lease"):
+        alnum = lambda x: x.isalnum()  # noqa: E731 (ASCII, on bytes)
+        free = lambda i: not (alnum(b[i - 1 : i]) or alnum(b[i + len(word) : i + len(word) + 1]))
+        return next((i for i in range(len(b)) if b[i:].startswith(word) and free(i)), -1)
+
+    keys = ["größe:22251", "größe lease:100", "éléase lease", "leaseé", "élease", "größe:leases", "sess/härbour-46", "sess/harbour-46", "世界 0 lease 00", "lease", "", None]
+    spark.createDataFrame(list(enumerate(keys)), "log_id long, rec_key string").coalesce(1).write.parquet(f"{tmp_path}/update_log.parquet")
+    got = {r.log_id: (r.word_at, r.zeros, r.distance) for r in entry.queries()["search_functions_bytes"](spark, str(tmp_path)).collect()}
+    b = {i: k.encode() for i, k in enumerate(keys) if k is not None}
+    assert got == {i: (word_at(k), k.count(b"0"), distance(k, b"sess/harbour-46")) for i, k in b.items()}
