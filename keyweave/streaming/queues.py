@@ -61,7 +61,8 @@ def follow(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
-def deduplicate(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Drop repeated messages by name, with state bounded by a watermark on their time."""
-    timed = stream.withColumn("at", F.timestamp_millis("timestamp_ms"))
-    return timed.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["queue_prefix", "file_id", "file_offset"]).drop("at")
+def deduplicate(stream: DataFrame) -> DataFrame:
+    """Drop repeated messages by name, however late or far apart they arrive; the first arrival of a
+    name is never dropped. There is no watermark, so the state holds every name seen: for long streams
+    let the session keep it on disk (``spark.sql.streaming.stateStore.providerClass``, RocksDB)."""
+    return stream.dropDuplicates(["queue_prefix", "file_id", "file_offset"])

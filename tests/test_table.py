@@ -159,6 +159,24 @@ def test_streaming_queue(spark, tmp_path):
     assert spark.read.parquet(f"{sink}/*").select("file_offset").distinct().count() == 30
 
 
+def test_deduplication_keeps_late_first_arrivals(spark, tmp_path):
+    src, sink, hour = f"{tmp_path}/src", f"{tmp_path}/sink", 3_600_000
+    message = lambda q, offset, t: (q, 1, offset, t, bytearray(b"m"))
+    ahead = [message("ahead", 32 + i, 100 * hour + i) for i in range(5)]
+    lagging = [message("lagging", 32 + i, hour + i) for i in range(5)]  # 99 hours behind
+    later = [message("ahead", 99, 50 * hour), message("ahead", 100, 200 * hour)]  # out of order
+    again = [message("ahead", 32, 300 * hour), *lagging]  # a name seen 200 hours before
+
+    def handle(df, number):
+        df.write.mode("overwrite").parquet(f"{sink}/{number}")
+
+    for part in (ahead, lagging + later + ahead, again):
+        spark.createDataFrame(part, queues.SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        queues.poll(queues.deduplicate(queues.tail(spark, src)), handle, f"{tmp_path}/cp").awaitTermination()
+    got = [(r.queue_prefix, r.file_offset, r.timestamp_ms) for r in spark.read.parquet(f"{sink}/*").collect()]
+    assert sorted(got) == sorted((q, o, t) for q, _, o, t, _ in ahead + lagging + later)
+
+
 def test_queue_frames(spark):
     rows = [("q", f, 32 + i, t, None) for f, times in ((1, [5, 3, 9]), (2, [20, 10]), (3, [1])) for i, t in enumerate(times)]
     df = spark.createDataFrame(rows, queues.SCHEMA)
