@@ -55,6 +55,12 @@ def get_multi(spark, d):
     return point.get_multi(_orders(spark, d), _keys(spark, d))
 
 
+@query("SELECT DISTINCT o_orderkey AS key, o_orderstatus AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def get_multi_all(spark, d):
+    """Every order key of lineitem; ``get_multi`` asks for those of large quantities."""
+    return point.get_multi(_orders(spark, d), _keys(spark, d, where="true"))
+
+
 @query("""SELECT k AS key, o_orderstatus AS value, o_orderkey IS NOT NULL AS found,
   CASE WHEN o_orderkey IS NULL THEN 'NOT_FOUND_ERROR' ELSE 'SUCCESS' END AS status
   FROM (SELECT DISTINCT event_id * 7 AS k FROM events) LEFT JOIN orders ON o_orderkey = k""")
@@ -98,6 +104,14 @@ def remove_multi(spark, d):
     return point.remove_multi(_orders(spark, d), _keys(spark, d))
 
 
+@query("""SELECT o_orderkey AS key, o_orderstatus AS value FROM orders
+  WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem UNION ALL SELECT event_id * 7 FROM events)""")
+def remove_multi_all(spark, d):
+    """Every order key of lineitem, and keys from events of which most are missing."""
+    more = table(spark, d, "events").select((F.col("event_id") * 7).alias("key"))
+    return point.remove_multi(_orders(spark, d), _keys(spark, d, where="true").unionByName(more))
+
+
 @query("""SELECT k AS key, o_orderstatus AS old_value, CASE WHEN o_orderkey IS NULL THEN 'NOT_FOUND_ERROR' ELSE 'SUCCESS' END AS status
   FROM (SELECT DISTINCT event_id * 7 AS k FROM events) LEFT JOIN orders ON o_orderkey = k""")
 def remove_status(spark, d):

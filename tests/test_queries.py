@@ -27,3 +27,16 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     core = [m.__name__ for m in entry._CORE]
     assert not any("llm" in m for m in core)
+
+
+def test_key_batches_are_whole_tables(spark):
+    import bench
+
+    sf = "/root/testdata/sf0.001"
+    orders, asked, events = (
+        {r[0] for r in spark.read.parquet(f"{sf}/{t}.parquet").selectExpr(c).collect()}
+        for t, c in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("events", "event_id * 7"))
+    )
+    assert {r.key for r in entry.queries()["get_multi_all"](spark, sf).collect()} == orders & asked
+    assert {r.key for r in entry.queries()["remove_multi_all"](spark, sf).collect()} == orders - asked - events
+    assert not {"get_multi", "remove_multi"} & set(bench.HEADLINE) and {"get_multi_all", "remove_multi_all"} <= set(bench.HEADLINE)
