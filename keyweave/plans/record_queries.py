@@ -707,6 +707,16 @@ def to_int_values(spark, d):
     return table(spark, d, "update_log").filter(v.isNotNull() & ~odd).select("log_id", strings.to_int(v).alias("as_int"))
 
 
+@query(r"""WITH v AS (SELECT log_id, rec_value, regexp_extract(rec_value, '^[\x00- ]*([-+]?)[\x00- ]*[0-9]', 1) AS s,
+    ltrim(regexp_extract(rec_value, '^[\x00- ]*[-+]?[\x00- ]*([0-9]+)', 1), '0') AS digits FROM update_log),
+  n AS (SELECT *, CASE WHEN length(digits) > 19 THEN 10000000000000000000::HUGEINT ELSE coalesce(TRY_CAST(digits AS HUGEINT), 0) END AS n FROM v)
+  SELECT log_id, CAST(CASE WHEN rec_value IS NULL THEN NULL WHEN s = '-' THEN greatest(-n, -9223372036854775808::HUGEINT)
+    ELSE least(n, 9223372036854775807::HUGEINT) END AS BIGINT) AS as_int FROM n""")
+def to_int_values_all(spark, d):
+    """Every row: numbers beyond 64 bits saturate, null values give null."""
+    return table(spark, d, "update_log").select("log_id", strings.to_int(F.col("rec_value")).alias("as_int"))
+
+
 @query("""SELECT log_id, base64(encode(rec_value)) AS b64, url_encode(rec_key) AS url FROM update_log WHERE rec_value IS NOT NULL AND rec_key IS NOT NULL""")
 def encoded_values(spark, d):
     """Upper-case hex for the comparison; the function itself writes lower case."""

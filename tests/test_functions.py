@@ -257,3 +257,13 @@ def test_search_query_counts_bytes_of_every_key(spark, tmp_path):
     got = {r.log_id: (r.word_at, r.zeros, r.distance) for r in entry.queries()["search_functions_bytes"](spark, str(tmp_path)).collect()}
     b = {i: k.encode() for i, k in enumerate(keys) if k is not None}
     assert got == {i: (word_at(k), k.count(b"0"), distance(k, b"sess/harbour-46")) for i, k in b.items()}
+
+
+def test_int_query_keeps_every_row(spark, tmp_path):
+    import oracle
+
+    want = {" - 10 ": -10, "+ 7x": 7, "9" * 19: 2**63 - 1, "-" + "9" * 40: -(2**63), str(2**63 - 1): 2**63 - 1, "-" + str(2**63): -(2**63), "0" * 30 + "5": 5, "-": 0, "x1": 0, "": 0, "42.5": 42, None: None}
+    spark.createDataFrame(list(enumerate(want)), "log_id long, rec_value string").coalesce(1).write.parquet(f"{tmp_path}/update_log.parquet")
+    got = entry.queries()["to_int_values_all"](spark, str(tmp_path)).orderBy("log_id").collect()
+    assert [r.as_int for r in got] == list(want.values())
+    assert oracle.check(spark, "to_int_values_all", tmp_path) == len(want)
