@@ -229,6 +229,29 @@ def rekey_status(spark, d):
     return point.rekey_status(point.kv(table(spark, d, "nation"), "n_nationkey", "n_name"), _rekeys(spark, d), overwrite=False)
 
 
+_REKEY_LOG = """WITH base AS (SELECT log_id AS k, op_type AS v FROM update_log),
+  ops AS (SELECT msg_id * 17 AS a, CASE WHEN msg_id % 4 = 0 THEN msg_id * 17 + 1 ELSE -msg_id END AS b FROM log_messages),
+  st AS (SELECT a, b, CASE WHEN a NOT IN (SELECT k FROM base) THEN 'NOT_FOUND_ERROR' WHEN b IN (SELECT k FROM base) THEN 'DUPLICATION_ERROR' ELSE 'SUCCESS' END AS s FROM ops) """
+
+
+def _log_rekeys(spark, d):
+    """One operation per message: most to free keys, a quarter to taken ones, the last of missing keys."""
+    n = F.col("msg_id")
+    ops = table(spark, d, "log_messages").select((n * 17).alias("old_key"), F.when(n % 4 == 0, n * 17 + 1).otherwise(-n).alias("new_key"))
+    return point.kv(table(spark, d, "update_log"), "log_id", "op_type"), ops
+
+
+@query(_REKEY_LOG + """SELECT k AS key, v AS value FROM base WHERE k NOT IN (SELECT a FROM st WHERE s = 'SUCCESS')
+  UNION ALL SELECT b, v FROM st JOIN base ON a = k WHERE s = 'SUCCESS'""")
+def rekey_log(spark, d):
+    return point.rekey(*_log_rekeys(spark, d), overwrite=False)
+
+
+@query(_REKEY_LOG + "SELECT a AS old_key, b AS new_key, s AS status FROM st")
+def rekey_log_status(spark, d):
+    return point.rekey_status(*_log_rekeys(spark, d), overwrite=False)
+
+
 @query("SELECT c_custkey AS key, c_mktsegment AS value FROM customer ORDER BY c_custkey LIMIT 3")
 def pop_first(spark, d):
     return point.pop_first(_customers(spark, d), 3)[0]

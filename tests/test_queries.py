@@ -40,3 +40,9 @@ def test_key_batches_are_whole_tables(spark):
     assert {r.key for r in entry.queries()["get_multi_all"](spark, sf).collect()} == orders & asked
     assert {r.key for r in entry.queries()["remove_multi_all"](spark, sf).collect()} == orders - asked - events
     assert not {"get_multi", "remove_multi"} & set(bench.HEADLINE) and {"get_multi_all", "remove_multi_all"} <= set(bench.HEADLINE)
+
+
+def test_rekey_runs_over_growing_tables(spark):
+    at = {sf: entry.queries()["rekey_log_status"](spark, f"/root/testdata/{sf}").groupBy("status").count().collect() for sf in ("sf0.001", "sf0.01")}
+    small, large = ({r.status: r["count"] for r in rows} for rows in at.values())
+    assert set(small) == {"SUCCESS", "DUPLICATION_ERROR", "NOT_FOUND_ERROR"} and all(large[s] > 5 * n for s, n in small.items())
