@@ -1,23 +1,23 @@
 """Reading level of each document: classic readability formulas and the median of their grades.
 
-A text is first freed of what is not its own prose (interruptions in brackets, quotations, speaker
-labels, references and numbers whose dots end no sentence), then cut into sentences and words, and
-syllables are counted by hyphenation-style rules of its language (guessed from its function words;
-the language column is not trusted). Six formulas give a school grade each; their median is the
-document's grade, which one unfitting formula cannot move.
-
-Formulas only see lengths. Where graders' labels exist, :func:`fit_levels` therefore calibrates the
-estimates per language to the labels' scale, together with the words a text uses, by a regularised
-ordinal model on a bounded sample of labelled documents. Without enough labels, fixed cut points
-on the median grade are used.
+Sentences, words, letters and syllables of the whole text are counted; syllables come from
+hyphenation-style patterns of its language, which is guessed from its function words (the language
+column is not trusted). Seven published formulas give a school grade each; their median is the
+document's grade, which no single formula can move. Cut points on the median grade, one set per
+language, turn it into levels 1 to 5; where graders' labels exist, :func:`fit_cuts` places them.
+
+Only what is no prose of the speaker is left out of a text: the speaker's label, and bracketed notes
+that record an interruption. Quotations and other brackets are read like the rest.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -25,16 +25,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that a model is fitted on at most, and words it may weigh.
-MAX_LABELLED, MAX_WORDS = 4_000, 2_000
-#: Fewer labelled documents than this fit no model; more graders of one document count as this many.
-MIN_LABELLED, MAX_GRADERS = 60, 10
+#: Labelled documents that the cut points are fitted on at most.
+MAX_LABELLED = 4_000
+#: Weight, in labelled documents, of the school grades that the fitted cut points start from.
+PRIOR_WEIGHT = 6.0
 
 # Frequent function words that tell the languages apart.
 FUNCTION_WORDS = {
-    "en": "the of and to is for in that be not by with as it which".split(),
-    "fr": "le la les des du et en un une dans pour que ne pas est sur au aux".split(),
-    "de": "der die das und den dem des nicht ist mit für von zu im ein eine auf wird".split(),
+    "en": (
+        "the of and to is for in that be not by with as it which this are was have has had will would can at from or but an on they we "
+        "their there been all no if so its"
+    ).split(),
+    "fr": (
+        "le la les des du et en un une dans pour que ne pas est sur au aux ce cette ces qui par plus avec nous vous il elle ils sont ont "
+        "été être leur leurs mais ou se sa son ses"
+    ).split(),
+    "de": (
+        "der die das und den dem des nicht ist mit für von zu im ein eine auf wird werden wurde hat haben sind war als auch an aus bei "
+        "nach noch nur oder sich sie wir er es einer einen einem dass"
+    ).split(),
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
 # Abbreviations after which a dot ends no sentence.
@@ -42,29 +51,48 @@ ABBREVIATIONS = (
     "abs al art bd bzw ca cf ch co doc dok dr drs etc ff fig hon jr ltd mgr mr mrs ms mx nr no nos op p para pp prof "
     "rn s sec sect sen sr st usw v vgl vol vs voir z ziff"
 ).split()
-#: Cut points of the median grade between levels 1 to 5, where there are no labels to fit.
-DEFAULT_CUTS = {"en": (4.0, 9.5, 16.0, 30.0), "fr": (3.0, 8.0, 12.5, 30.0), "de": (6.5, 12.0, 28.0, 35.0)}
+# What bracketed notes of an interruption say.
+INTERRUPTIONS = (
+    "applause|laughter|interruption|interjection|noise|disorder|cheers|hear, hear|calls? (?:of|for)|several members|a member|asked to sit down|"
+    "point of order|sic|revised transcript|corrected reissue|"
+    "applaudissements|rires|brouhaha|exclamations|protestations|mouvements divers|interruptions?|"
+    "beifall|heiterkeit|zurufe?|zwischenrufe?|widerspruch|unruhe|lachen"
+)
+# School grade of LIX and RIX scores, the lowest score of grades 2, 3, ... 13 (Anderson 1983).
+LIX_GRADES = (10, 15, 20, 24, 28, 32, 36, 40, 44, 48, 52, 56)
+RIX_GRADES = (0.2, 0.5, 0.8, 1.3, 1.8, 2.4, 3.0, 3.7, 4.5, 5.3, 6.2, 7.2)
+#: Last school grades of levels 1 to 4: primary, middle and high school, college.
+SCHOOL_CUTS = (4.0, 8.0, 12.0, 16.0)
+
+# Syllables, as hyphenation patterns tell them: a digit before a vowel says whether a syllable's nucleus
+# starts there (odd) or not (even), the highest digit of all patterns that match wins, a dot is the word's
+# edge, C any consonant and V any vowel. Without a pattern the first vowel of a run starts a nucleus.
+VOWELS = {"en": "aeiouyàâäéèêëîïôöùûüœæ", "fr": "aeiouyàâäéèêëîïôöùûüœæ", "de": "aeiouyäöüàâéèêëîïôùûœæ"}
+PATTERNS = {
+    "en": """
+        i1a i1o i1u i1i u1a u1o u1u e1o e1u a1o y1a y1e y1i y1o
+        ti2a ti2o si2a si2o ci2a ci2o gi2o gi2a xi2o ti2e ci2e sci3ence soci3et e2opl e2ous i1ous. ti2ous. ci2ous. gi2ous.
+        qu2a qu2e qu2i qu2o gu2a gu2e gu2i u1ent u1ence u1ity ru1in flu1id
+        .2y3a .2y3e .2y3i .2y3o .2y3u
+        e1ing. o1ing. i1er. i1est. i1ence i1ety i1et. cre1at e1ality e1ate. o1opera po1e de1a. re1a.
+        C4e. bl5e. cl5e. dl5e. fl5e. gl5e. kl5e. pl5e. tl5e. zl5e. C2ed. t3ed. d3ed. C2es. s3es. z3es. x3es. g3es. c3es. h3es. bl5es. pl5es. tl5es.
+        C2ely. C2eless C2eness g2ement. at2ement.""",
+    "fr": """
+        é1a é1â é1o é1i é1u a1ï o1ï a1ë o1ë a1é o1é u1é y1a y1e y1é y1o bri1e cri1e dri1e fri1e gri1e pri1e tri1e vri1e bli1e cli1e pli1e
+        C2e. C2es. C2ent. m3ent. i2e. i2es. é2e. é2es.""",
+    "de": "i1o i1a i1u q2u3a q2u3e q2u3i q2u3o .be3ur be3ende ge3ä ge3ehr i3elle i3ent i3enz",
+}
+#: Vowel pairs of one German syllable; its other pairs are two.
+DIGRAPHS = "ei ai ey ay au eu äu ie aa ee oo".split()
 
-_ASIDE = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|\*{3}[^*]*\*{3}|“[^”]*”|«[^»]*»|„[^“”]*[“”]")
-_NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
-_SPEAKER = re.compile(r"\A\s*[^\n.!?:]{1,60}:\s")
 _LETTER = "a-zß-öø-ɏͰ-ԯ"  # lower-cased Latin, Greek and Cyrillic
+_SPEAKER = re.compile(r"\A\s*(?:[A-ZÀ-Þ][\w.'’-]*,?\s+){0,3}[A-ZÀ-Þ][\w.'’-]*\s*(?:\([^()\n]{1,60}\)\s*)?:\s")
+_NOTE = rf"[^()\[\]]*\b(?:{INTERRUPTIONS})\b[^()\[\]]*"
+_ASIDE = re.compile(rf"\({_NOTE}\)|\[{_NOTE}\]|\[\s*(?:[^\s\[\]:]+\s+){{0,3}}[^\s\[\]:]+:[^\[\]]*\]|\*\*\*[^*\n]*\*\*\*")
+_END = re.compile(r"[.!?…]+(?!\w)")
 _WORD = re.compile(rf"[{_LETTER}]+(?:[-'’][{_LETTER}]+)*")
-#: A dot after an abbreviation is put aside by its last letters; the dots left end sentences.
-_SHORT = re.compile(r"\b([a-zà-ÿ]{1,4})\.")
-_END = re.compile(r"[.!?;:]+(?=\s|$)|\n+")
-_NUCLEUS = {
-    "en": re.compile(r"i(?=[ao](?!n\b|us\b|l\b|ns\b))|[aeiouy]+"),
-    "fr": re.compile(r"[aeiouyàâäéèêëîïôöùûüœæ]+"),
-    "de": re.compile(r"ei|ai|au|eu|äu|ie|aa|ee|oo|[aeiouyäöüàâéèêëîïôùûœæ]"),
-}
-_MUTE = {
-    "en": re.compile(r"(?<=[^aeiouyl])e$|(?<=[aeiouy])le$|(?<=[^aeiouysxzhtdl])e[sd]$|(?<=[aeiouy]l)e[sd]?$"),
-    "fr": re.compile(r"(?<=[^aeiouyàâäéèêëîïôöùûüœæ])(?:e|es|ent)$"),
-    "de": re.compile(r"(?!)"),
-}
 
-FORMULAS = ("flesch_kincaid", "gunning_fog", "smog", "automated", "coleman_liau", "lix")
+FORMULAS = ("flesch_kincaid", "gunning_fog", "smog", "automated", "coleman_liau", "lix", "rix")
 
 
 class Measures(NamedTuple):
@@ -75,52 +103,99 @@ class Measures(NamedTuple):
     n_long_syllabic: int
     n_long: int
     n_chars: int
-    words: Counter
 
 
-def syllables(word: str, language: str) -> int:
-    """Syllables of a lower-case word: its vowel nuclei without a mute ending, at least one."""
-    return max(1, len(_NUCLEUS[language].findall(_MUTE[language].sub("", word))))
-
+@cache
+def _points(language: str) -> tuple[dict[str, tuple[tuple[int, int], ...]], int]:
+    """The patterns of a language by their letters, with classes spelled out, and the longest one."""
+    vowels = VOWELS[language]
+    consonants = [c for c in "abcdefghijklmnopqrstuvwxyzßçñ" if c not in vowels]
+    patterns = PATTERNS[language].split()
+    if language == "de":
+        patterns += [f"{a}1{b}" for a in vowels for b in vowels if a + b not in DIGRAPHS]
+    table: dict[str, tuple[tuple[int, int], ...]] = {}
+    for p in patterns:
+        for letters in consonants if "C" in p else vowels if "V" in p else [""]:
+            spelled = p.replace("C", letters).replace("V", letters)
+            bare = re.sub(r"\d", "", spelled)
+            at = tuple((m.start() - i, int(m[0])) for i, m in enumerate(re.finditer(r"\d", spelled)))
+            table[bare] = table.get(bare, ()) + at
+    return table, max(map(len, table))
 
-_known: dict[tuple[str, str], int] = {}
-_abbreviated = frozenset(ABBREVIATIONS)
 
-
-def _keep_end(m: re.Match) -> str:
-    return " " if m[1] in _abbreviated else m[0]
+def syllables(word: str, language: str) -> int:
+    """Syllables of a lower-case word: its nuclei by the language's patterns, at least one."""
+    vowels, (table, longest) = VOWELS[language], _points(language)
+    w = f".{word}."
+    starts = [0] * len(w)
+    for i in range(1, len(w) - 1):
+        if w[i] in vowels and w[i - 1] not in vowels:
+            starts[i] = 1
+    for i in range(len(w)):
+        for j in range(i + 2, min(len(w), i + longest) + 1):
+            for k, digit in table.get(w[i:j], ()):
+                starts[i + k] = max(starts[i + k], digit)
+    return max(1, sum(s & 1 for s, c in zip(starts, w) if c in vowels))
+
+
+_abbreviated, _function_words = frozenset(ABBREVIATIONS), {x: frozenset(w) for x, w in FUNCTION_WORDS.items()}
+#: Per language: (syllables, three or more of them, more than six letters, letters) of words met before.
+_known: dict[str, dict[str, tuple[int, bool, bool, int]]] = {x: {} for x in LANGUAGES}
+
+
+def _sentences(prose: str) -> int:
+    """Stretches between sentence ends that have a word. A line's end is one too; a dot after an
+    abbreviation, between letters (e.g.) or digits is none."""
+    n, open_ = 0, False
+    for s in _END.split(prose.replace("\n", ".\n")):
+        last = s.rsplit(None, 1)[-1:]
+        if last:
+            open_ = open_ or _WORD.search(s) is not None
+            if open_ and last[0] not in _abbreviated and "." not in last[0].strip("."):
+                n, open_ = n + 1, False
+    return n + open_
 
 
 def measure(text: str | None) -> Measures:
-    """Counts of a whole text; null, empty and wordless texts count nothing and are called ``en``.
-    Fragments of one or two words (list entries, headings) are no sentences and are left out."""
-    prose = _ASIDE.sub(" ", _SPEAKER.sub(" ", (text or "").lower()))
-    prose = _SHORT.sub(_keep_end, _NUMBER.sub(" ", prose))
-    sentences = [_WORD.findall(s) for s in _END.split(prose)]
-    kept = [s for s in sentences if len(s) >= 3] or [s for s in sentences if s]
-    words = [w for s in kept for w in s]
-    seen = Counter(words)
-    language = max(LANGUAGES, key=lambda x: sum(seen[w] for w in FUNCTION_WORDS[x]))
-    n_syl = n_poly = n_long = n_chars = 0
-    if len(_known) > 500_000:
-        _known.clear()
+    """Counts of a whole text; null, empty and wordless texts count nothing and are called ``en``."""
+    prose = text or ""
+    if ":" in prose[:200]:
+        prose = _SPEAKER.sub(" ", prose, count=1)
+    prose = prose.lower()
+    if "(" in prose or "[" in prose or "*" in prose:
+        prose = _ASIDE.sub(" ", prose)
+    seen = Counter(_WORD.findall(prose))
+    language = max(LANGUAGES, key=lambda x: sum(seen[w] for w in _function_words[x] if w in seen))
+    known = _known[language]
+    if len(known) > 500_000:
+        known.clear()
+    n_words = n_syl = n_poly = n_long = n_chars = 0
     for w, n in seen.items():
-        s = _known.get((w, language))
-        if s is None:
-            s = _known[w, language] = syllables(w, language)
-        n_syl += n * s
-        n_poly += n * (s >= 3)
-        n_long += n * (len(w) > 6)
-        n_chars += n * len(w)
-    return Measures(language, len(kept), len(words), n_syl, n_poly, n_long, n_chars, seen)
+        k = known.get(w)
+        if k is None:
+            s = syllables(w, language)
+            k = known[w] = (s, s >= 3, len(w) > 6, len(w))
+        n_words += n
+        n_syl += n * k[0]
+        n_poly += n * k[1]
+        n_long += n * k[2]
+        n_chars += n * k[3]
+    return Measures(language, _sentences(prose), n_words, n_syl, n_poly, n_long, n_chars)
+
+
+def _scale(score: float, bounds: tuple[float, ...]) -> float:
+    """School grade of a score whose grades 2, 3, ... begin at ``bounds``: linear in between, and beyond
+    the ends as steep as in the last grade there."""
+    i = min(max(bisect_right(bounds, score), 1), len(bounds) - 1)
+    return i + 1 + (score - bounds[i - 1]) / (bounds[i] - bounds[i - 1])
 
 
 def grades(m: Measures) -> list[float]:
-    """School grades by the six formulas, in the order of FORMULAS; 0 for a text without words.
-    LIX, made for German and Scandinavian texts too, is put on the grade scale linearly."""
+    """School grades by the seven formulas, in the order of FORMULAS; 0 for a text without words."""
     if not m.n_words:
         return [0.0] * len(FORMULAS)
-    per_sentence, per_word = m.n_words / m.n_sentences, m.n_syllables / m.n_words
+    n_sentences = max(1, m.n_sentences)
+    per_sentence, per_word = m.n_words / n_sentences, m.n_syllables / m.n_words
     poly, long_, chars = m.n_long_syllabic / m.n_words, m.n_long / m.n_words, m.n_chars / m.n_words
     return [
         0.39 * per_sentence + 11.8 * per_word - 15.59,
@@ -128,20 +203,20 @@ def grades(m: Measures) -> list[float]:
         1.043 * math.sqrt(30 * poly * per_sentence) + 3.1291,
         4.71 * chars + 0.5 * per_sentence - 21.43,
         5.88 * chars - 29.6 / per_sentence - 15.8,
-        (per_sentence + 100 * long_ - 10) / 4,
+        _scale(per_sentence + 100 * long_, LIX_GRADES),
+        _scale(m.n_long / n_sentences, RIX_GRADES),
     ]
 
 
 def median_grade(m: Measures) -> float:
-    g = sorted(grades(m))
-    return (g[2] + g[3]) / 2
+    return sorted(grades(m))[len(FORMULAS) // 2]
 
 
 PROFILE = "language string, n_sentences int, n_words int, n_syllables int, " + ", ".join(f"{f} double" for f in FORMULAS) + ", median_grade double"
 
 
 def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` with counts, the six grades and their median for every row of ``docs``."""
+    """``id_col`` with counts, the seven grades and their median for every row of ``docs``."""
 
     @F.pandas_udf(PROFILE)
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -157,99 +232,54 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col), once(F.col(text_col)).alias("m")).select(id_col, "m.*")
 
 
-class Levels(NamedTuple):
-    """Ordinal model: four score columns, for "at least level 2, 3, 4, 5"."""
-
-    center: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
-    words: dict[str, int]
-    word_weights: np.ndarray
-
-
-_WORD_SCALE = 5.0
-
-
-def _formula_row(m: Measures) -> list[float]:
-    n, s = max(1, m.n_words), max(1, m.n_sentences)
-    return [*grades(m), median_grade(m), m.n_words / s, m.n_syllables / n, m.n_chars / n, m.n_long_syllabic / n, m.n_long / n]
-
-
-def _by_language(z: np.ndarray, language: str) -> np.ndarray:
-    out = np.zeros(len(LANGUAGES) * (len(z) + 1))
-    i = LANGUAGES.index(language) * (len(z) + 1)
-    out[i : i + len(z)] = z
-    out[i + len(z)] = 1
-    return out
-
-
-def _word_row(m: Measures, index: dict[str, int]) -> tuple[list[int], np.ndarray]:
-    """Columns of the weighed words of a text, and the root of each one's share of the text."""
-    at = [(index[w], n) for w, n in m.words.items() if w in index]
-    return [j for j, _ in at], np.sqrt(np.array([n for _, n in at], dtype=float) / max(1, m.n_words)) * _WORD_SCALE
-
-
-def _logistic(a: np.ndarray, targets: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 100) -> np.ndarray:
-    """Weighted ridge logistic regressions of all target columns at once, by accelerated gradient."""
-    v = np.ones(a.shape[1])
-    for _ in range(30):
-        v = a.T @ (weight * (a @ v))
-        v /= np.linalg.norm(v) or 1
-    step = 1 / (0.26 * float(v @ (a.T @ (weight * (a @ v)))) + ridge)
-    b = np.zeros((a.shape[1], targets.shape[1]))
-    look, t = b, 1.0
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ look, -30, 30)))
-        new = look - step * (a.T @ (weight[:, None] * (p - targets)) + ridge * look)
-        t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        look, move = new + (t - 1) / t_new * (new - b), np.abs(new - b).max()
-        b, t = new, t_new
-        if move < 1e-4:
-            break
-    return b
-
-
-def fit_model(ms: list[Measures], counts: list[list[int]], *, max_words: int = MAX_WORDS, ridge: float = 1.0) -> Levels | None:
-    """A model from measured texts and how often each of the grades 1 to 5 was given to them; None with
-    too few texts or all equal grades. A text weighs as its graders, at most MAX_GRADERS."""
-    given = np.array(counts, dtype=float).reshape(len(ms), 5)
-    if len(ms) < MIN_LABELLED or (given.sum(0) > 0).sum() < 2:
-        return None
-    x = np.array([_formula_row(m) for m in ms])
-    center, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-    count = Counter(w for m in ms for w in m.words)
-    common = sorted((w for w, n in count.items() if n >= 3), key=lambda w: (-count[w], w))[:max_words]
-    index = {w: i for i, w in enumerate(common)}
-    head = len(LANGUAGES) * (x.shape[1] + 1)
-    a = np.zeros((len(ms), head + len(index)))
-    for i, m in enumerate(ms):
-        a[i, :head] = _by_language((x[i] - center) / scale, m.language)
-        at, shares = _word_row(m, index)
-        a[i, [head + j for j in at]] = shares
-    graders = given.sum(1)
-    targets = np.cumsum(given[:, ::-1], axis=1)[:, 3::-1] / np.maximum(graders, 1)[:, None]
-    b = _logistic(a, targets, np.minimum(graders, MAX_GRADERS), ridge)
-    return Levels(center, scale, b[:head], index, b[head:])
-
-
-def level_of(m: Measures, model: Levels | None) -> int:
+#: Per language the four median grades above which levels 2, 3, 4 and 5 begin.
+Cuts = dict[str, tuple[float, ...]]
+
+
+def best_cut(grade: np.ndarray, above: np.ndarray, weight: np.ndarray) -> float:
+    """The grade at which cutting puts the least weight on the wrong side: ``above`` is the share of a
+    text's graders who put it above. Of equally good places the middle one is taken."""
+    order = np.argsort(grade, kind="stable")
+    g, a, w = grade[order], above[order], weight[order]
+    wrong = np.concatenate([[0.0], np.cumsum(w * a)]) + np.concatenate([np.cumsum((w * (1 - a))[::-1])[::-1], [0.0]])
+    edges = np.concatenate([[g[0] - 1], (g[1:] + g[:-1]) / 2, [g[-1] + 1]])
+    possible = np.concatenate([[True], g[1:] > g[:-1], [True]])
+    best = np.flatnonzero(possible & (wrong <= wrong[possible].min() + 1e-9))
+    return float(edges[best[len(best) // 2]])
+
+
+def fit_cuts(languages: list[str], medians: list[float], counts: list[list[int]], prior_weight: float = PRIOR_WEIGHT) -> Cuts:
+    """Cut points from labelled texts: their language, median grade, and how often each of the grades 1
+    to 5 was given to them. A text weighs the same however many graders it had.
+
+    Every language starts from evenly spread texts of the school grades 0 to 20, graded by SCHOOL_CUTS,
+    of ``prior_weight`` together; the rule is the same with many labels, few, or none.
+    """
+    base = np.arange(0.25, 20, 0.5)
+    language, median = np.array(languages, dtype=object), np.array(medians, dtype=float)
+    given = np.array(counts, dtype=float).reshape(len(languages), 5)
+    share = given / np.maximum(given.sum(1, keepdims=True), 1)
+    cuts: Cuts = {}
+    for x in LANGUAGES:
+        mine = (language == x) & (given.sum(1) > 0)
+        grade = np.concatenate([base, median[mine]])
+        weight = np.concatenate([np.full(len(base), prior_weight / len(base)), np.ones(int(mine.sum()))])
+        found = [best_cut(grade, np.concatenate([base > SCHOOL_CUTS[j], share[mine, j + 1 :].sum(1)]), weight) for j in range(4)]
+        cuts[x] = tuple(float(c) for c in np.maximum.accumulate(found))
+    return cuts
+
+
+def level_of(m: Measures, cuts: Cuts) -> int:
     """Level 1 to 5; a text without words is level 1."""
-    if not m.n_words:
-        return 1
-    if model is None:
-        return 1 + sum(median_grade(m) > c for c in DEFAULT_CUTS[m.language])
-    z = (np.array(_formula_row(m)) - model.center) / model.scale
-    at, shares = _word_row(m, model.words)
-    score = _by_language(z, m.language) @ model.weights + shares @ model.word_weights[at]
-    return 1 + int((score > 0).sum())
+    return 1 + sum(median_grade(m) > c for c in cuts[m.language]) if m.n_words else 1
 
 
 def fit_levels(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED
-) -> Levels | None:
-    """Fit on the labels (``doc_id, grader, grade``): repeated rows count once, null grades and grades
-    outside 1 to 5 not at all, several graders of a document are averaged. Of the labelled documents
-    ``max_labelled`` are used, chosen by a hash of their id."""
+) -> Cuts:
+    """Cut points from the labels (``doc_id, grader, grade``): repeated rows count once, null grades and
+    grades outside 1 to 5 not at all. Of the labelled documents ``max_labelled`` are used, chosen by a
+    hash of their id; only their language and median grade are collected. Texts without words are left out."""
     given = labels.filter("grade BETWEEN 1 AND 5").select(F.col("doc_id").alias("id"), "grader", "grade").distinct()
     per_doc = given.groupBy("id").agg(F.array(*[F.count_if(F.col("grade") == g) for g in range(1, 6)]).alias("grades"))
     chosen = per_doc.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
@@ -258,38 +288,29 @@ def fit_levels(
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ms = [measure(t) for t in pdf.t]
-            yield pd.DataFrame(
-                {
-                    "id": pdf.id,
-                    "language": [m.language for m in ms],
-                    "numbers": [list(m[1:7]) for m in ms],
-                    "words": [list(m.words) for m in ms],
-                    "counts": [list(m.words.values()) for m in ms],
-                    "grades": pdf.grades,
-                }
-            )
-
-    schema = "id long, language string, numbers array<long>, words array<string>, counts array<long>, grades array<long>"
-    sample = sorted(rows.mapInPandas(measured, schema).collect(), key=lambda r: r.id)
-    ms = [Measures(r.language, *r.numbers, Counter(dict(zip(r.words, r.counts)))) for r in sample]
-    return fit_model(ms, [list(r.grades) for r in sample])
-
-
-def levels(docs: DataFrame, model: Levels | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, language, median_grade, level`` for every row of ``docs``; one pass over the texts."""
-
-    @F.pandas_udf("language string, median_grade double, level int")
-    def leveled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            out = pd.DataFrame({"id": pdf.id, "language": [m.language for m in ms], "median": [median_grade(m) for m in ms], "grades": pdf.grades})
+            yield out[[m.n_words > 0 for m in ms]]
+
+    sample = sorted(rows.mapInPandas(measured, "id long, language string, median double, grades array<long>").collect(), key=lambda r: r.id)
+    return fit_cuts([r.language for r in sample], [r.median for r in sample], [list(r.grades) for r in sample])
+
+
+def levels(docs: DataFrame, cuts: Cuts, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, language, median_grade, level`` for every row of ``docs``; one pass over the texts.
+
+    Null, empty and wordless texts have grade 0 and level 1; repeated rows are rows of their own."""
+
+    @F.pandas_udf("language string, median_grade double, n_words int")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             ms = [measure(t) for t in texts]
-            yield pd.DataFrame(
-                {
-                    "language": [m.language for m in ms],
-                    "median_grade": [median_grade(m) for m in ms],
-                    "level": [level_of(m, model) for m in ms],
-                }
-            )
+            yield pd.DataFrame({"language": [m.language for m in ms], "median_grade": [median_grade(m) for m in ms], "n_words": [m.n_words for m in ms]})
 
     # Not deterministic for the optimizer: a filter on the level must not run the function twice.
-    once = leveled.asNondeterministic()
-    return docs.select(F.col(id_col), once(F.col(text_col)).alias("m")).select(id_col, "m.*")
+    once = measured.asNondeterministic()
+    rows = docs.select(F.col(id_col), once(F.col(text_col)).alias("m")).select(id_col, "m.language", "m.median_grade", "m.n_words")
+    above = lambda x: sum(((F.col("median_grade") > F.lit(c)).cast("int") for c in cuts[x]), F.lit(1))
+    level = F.lit(1)
+    for x in LANGUAGES:
+        level = F.when(F.col("language") == x, above(x)).otherwise(level)
+    return rows.select(id_col, "language", "median_grade", F.when(F.col("n_words") > 0, level).otherwise(1).alias("level"))
