@@ -1,23 +1,26 @@
-"""Processing only new or changed records by diffing immutable manifests.
-
-A version of a table is a manifest: which immutable files it holds and which positions of each file
-are no longer (or not yet) part of it, its deletion vector. Two manifests are diffed file by file:
-an added file delivers all its live rows, a removed file takes its rows back, a file in both delivers
-the difference of its deletion vectors. Records are read only for files that differ. The consumer
-stores the version it has processed in the same atomic commit as its output, so a failed run leaves
-neither and the next run repeats exactly the same difference.
-
-Here: message queues, whose append-only files are the immutable files and whose readers' positions
-are deletion vectors over them. :mod:`keyweave.sources.versioned` has the same for tables.
+"""Processing only new or changed records by diffing immutable table versions.
+
+Messages arrive as immutable files in a folder. :func:`take_in` diffs the folder's manifest against the
+one of its last run and adds the messages of the added files to a stored table of versions, from which
+those of removed files are deleted; the folder's manifest is saved in the same commit.
+
+A reader of a queue has processed a version of its own: the stored table less the deletion vector of
+everything from its position on. :func:`reader_delta` diffs that version against the current one file
+by file, on manifests alone: files wholly before the position are in both, files wholly behind it are
+added, and the file that the position cuts is changed. :func:`unread_messages` reads the rows of these
+files only. A consumer that commits its output through :func:`keyweave.sources.versioned.process_new`
+saves the version it has processed with it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a queue file that one manifest entry covers: the unit of skipping and of work.
-BLOCK_BYTES = 1 << 20
+from keyweave.sources.versioned import VersionedTable, ingest
+
+#: Stored messages: their names and times, and the file they came from. The content stays in the files.
+MESSAGES = "queue string, file_id long, file_offset long, ts long, source string"
 
 
 def run_succeeded(status: Column) -> Column:
@@ -47,67 +50,65 @@ def reader_positions(runs: DataFrame) -> DataFrame:
     )
 
 
-def queue_rows(messages: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The distinct messages (queue, file, block, offset, timestamp) of a log with repeated rows.
-
-    The content is not read. Rows without a name (null queue, file or offset) are no messages; of
-    repeated rows with different timestamps the latest counts.
-    """
-    return (
-        messages.select(
-            F.col("queue_prefix").alias("queue"),
-            F.col("file_id").cast("long").alias("file_id"),
-            F.floor(F.col("file_offset") / F.lit(block_bytes)).alias("block"),
-            F.col("file_offset").cast("long").alias("file_offset"),
-            F.col("timestamp_ms").cast("long").alias("ts"),
-        )
-        .filter("queue IS NOT NULL AND file_id IS NOT NULL AND file_offset IS NOT NULL")
-        .groupBy("queue", "file_id", "block", "file_offset")
-        .agg(F.max("ts").alias("ts"))
-    )
-
-
-def queue_manifest(rows: DataFrame) -> DataFrame:
-    """Current manifest: one entry per block of a queue file with its ends and its latest time."""
-    return rows.groupBy("queue", "file_id", "block").agg(
-        F.min("file_offset").alias("lo"), F.max("file_offset").alias("hi"), F.max("ts").alias("max_ts")
-    )
+def message_store(spark: SparkSession, path: str) -> VersionedTable:
+    """The stored messages under ``path``; each commit is sorted, so that a file holds a range of a queue."""
+    return VersionedTable(spark, path, MESSAGES, entry_by=["queue"], ordered_by=["file_id", "file_offset"], latest=["ts"])
 
 
-def manifest_delta(positions: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Diff of each reader's processed version against the current manifest.
+def message_rows(messages: DataFrame) -> DataFrame:
+    """The distinct messages of some source files, one row per message and file.
 
-    The processed version holds all files below the reader's, and of that file all offsets below its
-    own. Entries beyond are ``added``; the entry that the position cuts is ``changed``, and
-    ``live_from`` is its deletion vector (offsets below it are consumed). Entries whose latest message
-    is older than the reader's minimum are skipped. Queues do not lose messages, so nothing is removed.
+    The content is not read. Rows without a name (null queue, file or offset) are no messages; of
+    repeated rows with different timestamps the latest counts.
     """
-    p, m = positions.alias("p"), manifest.alias("m")
-    ahead = (F.col("m.file_id") > F.col("p.file_id")) | (
-        (F.col("m.file_id") == F.col("p.file_id")) & (F.col("m.hi") >= F.col("p.file_offset"))
-    )
-    cut = (F.col("m.file_id") == F.col("p.file_id")) & (F.col("m.lo") < F.col("p.file_offset"))
-    return p.join(m, (F.col("p.queue") == F.col("m.queue")) & ahead & (F.col("m.max_ts") >= F.col("p.min_ts"))).select(
+    named = messages.select(
+        F.col("queue_prefix").alias("queue"),
+        F.col("file_id").cast("long").alias("file_id"),
+        F.col("file_offset").cast("long").alias("file_offset"),
+        F.col("timestamp_ms").cast("long").alias("ts"),
+        "source",
+    ).filter("queue IS NOT NULL AND file_id IS NOT NULL AND file_offset IS NOT NULL")
+    return named.groupBy("queue", "file_id", "file_offset", "source").agg(F.max("ts").alias("ts"))
+
+
+def take_in(store: VersionedTable, folder: str) -> DataFrame | None:
+    """One run over a folder of message files: only files that are new, rewritten or gone since the last
+    run count. Returns the frame of the files it read, or None."""
+    return ingest(store, folder, message_rows)
+
+
+def reader_delta(positions: DataFrame, entries: DataFrame) -> DataFrame:
+    """Diff of each reader's processed version against the current one: ``reader_id, queue, min_ts, file,
+    change, from_file, from_offset``; the last two are the deletion vector of a ``changed`` file (what
+    lies before them is processed). Files whose latest message is older than the reader's minimum are
+    left out."""
+    p, e = positions.alias("p"), entries.alias("e")
+    at = F.struct(F.col("p.file_id").alias("file_id"), F.col("p.file_offset").alias("file_offset"))
+    ahead = (F.col("e.hi") >= at) & (F.col("e.latest.ts") >= F.col("p.min_ts"))
+    return p.join(e, (F.col("p.queue") == F.col("e.queue")) & ahead).select(
         "p.reader_id",
-        "m.queue",
-        "m.file_id",
-        "m.block",
-        F.when(cut, F.lit("changed")).otherwise(F.lit("added")).alias("change"),
-        F.when(cut, F.col("p.file_offset")).otherwise(F.col("m.lo")).alias("live_from"),
+        F.col("p.queue").alias("queue"),
         "p.min_ts",
+        "e.file",
+        F.when(F.col("e.lo") < at, F.lit("changed")).otherwise(F.lit("added")).alias("change"),
+        F.col("p.file_id").alias("from_file"),
+        F.col("p.file_offset").alias("from_offset"),
     )
 
 
-def unread_messages(messages: DataFrame, runs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def unread_messages(store: VersionedTable, runs: DataFrame, version: int | None = None) -> DataFrame:
     """``reader_id, file_id, file_offset, ts``: what each reader has still to read, each message once.
 
-    The join to the records runs on manifest entries, so no queue is ever one task's work and every
-    joined pair is a result but for the cut entry's consumed part and its old messages. Messages with
-    a null timestamp are older than any minimum. Empty tables give no rows.
+    The join to the rows runs on data files, whose rows are bounded, so no queue is ever one task's work;
+    every joined pair is a result but for the processed part of a cut file, old messages and repeats.
+    Messages with a null timestamp are older than any minimum. Empty tables give no rows.
     """
-    rows = queue_rows(messages, block_bytes)
-    delta = manifest_delta(reader_positions(runs), queue_manifest(rows)).alias("d")
-    r = rows.alias("r")
-    same = (F.col("d.queue") == F.col("r.queue")) & (F.col("d.file_id") == F.col("r.file_id")) & (F.col("d.block") == F.col("r.block"))
-    live = (F.col("r.file_offset") >= F.col("d.live_from")) & (F.col("r.ts") >= F.col("d.min_ts"))
-    return r.join(delta.select("d.*"), same & live).select("d.reader_id", "r.file_id", "r.file_offset", "r.ts", "d.change")
+    version = store.version() if version is None else version
+    delta = reader_delta(reader_positions(runs), store.entries(version))
+    rows = store.read(version, positions=True, files=delta).alias("r")
+    d = delta.alias("d")
+    same = (F.col("d.file") == F.col("r.__file")) & (F.col("d.queue") == F.col("r.queue")) & (F.col("r.ts") >= F.col("d.min_ts"))
+    here = F.struct(F.col("r.file_id").alias("f"), F.col("r.file_offset").alias("o"))
+    live = here >= F.struct(F.col("d.from_file").alias("f"), F.col("d.from_offset").alias("o"))
+    found = rows.join(d, same & live).select("d.reader_id", "r.file_id", "r.file_offset", "r.ts")
+    return found.groupBy("reader_id", "file_id", "file_offset").agg(F.max("ts").alias("ts"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyweave.operators import changefeed, chunking, incremental
-from keyweave.session import table
+from keyweave.session import kept_path, table
 
 #: Share of all keyed rows above which a key counts as heavy.
 HEAVY_SHARE = 0.01
@@ -23,14 +23,20 @@ def p1_state(spark, d):
     return state.select("server_id", "dbm_index", "rec_key", F.coalesce("rec_value", F.lit("")).alias("rec_value"), "seq")
 
 
+def _unread(spark, d):
+    """Takes in what is new in the folder of messages since the application's last run over it, then
+    diffs the readers' versions against the stored one."""
+    store = incremental.message_store(spark, kept_path(spark, "messages", f"{d}/log_messages.parquet"))
+    incremental.take_in(store, f"{d}/log_messages.parquet")
+    return incremental.unread_messages(store, table(spark, d, "mq_reader_runs"))
+
+
 def p3_found(spark, d):
-    unread = incremental.unread_messages(table(spark, d, "log_messages"), table(spark, d, "mq_reader_runs"))
-    return unread.select("reader_id", "file_id", "file_offset")
+    return _unread(spark, d).select("reader_id", "file_id", "file_offset")
 
 
 def p3_backlog(spark, d):
-    unread = incremental.unread_messages(table(spark, d, "log_messages"), table(spark, d, "mq_reader_runs"))
-    return unread.groupBy("reader_id").agg(
+    return _unread(spark, d).groupBy("reader_id").agg(
         F.count(F.lit(1)).alias("n_messages"), F.min("ts").alias("oldest_ms"), F.max("ts").alias("newest_ms")
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import io
 import logging
 import tempfile
@@ -63,6 +64,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_path(spark: SparkSession, label: str, what: str) -> str:
+    """A folder in the shared space for a stored table made from ``what``, the same throughout the
+    application and deleted with its scratch."""
+    app = spark.sparkContext.applicationId
+    path = f"{scratch_dir(spark)}/keyweave/{app}-{label}-{hashlib.md5(what.encode()).hexdigest()}"
+    if (spark, path) not in _scratch:
+        _scratch.append((spark, path))
+    return path
+
+
 def release_scratch() -> None:
     """Delete what :func:`materialize` wrote; results that still read it must be consumed first."""
     while _scratch:

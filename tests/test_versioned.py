@@ -75,3 +75,35 @@ def test_consumer_survives_failures(spark, tmp_path, table):
     assert rows(sink.read()) == Counter([(1, "a", "insert"), (2, "b", "insert"), (1, "a", "delete"), (3, "c", "insert")])
     assert process_new(table, sink, "other", lambda d: d.limit(0)) == (0, 3)
     assert sink.properties() == {"processed.c": "3", "processed.other": "3"}
+
+
+def test_many_commits_merge_their_manifests(spark, tmp_path, monkeypatch):
+    from keyweave.sources import versioned
+
+    monkeypatch.setattr(versioned, "MERGE_PARTS", 4)
+    t = VersionedTable(spark, f"file://{tmp_path}/t", SCHEMA, ordered_by=["k"])
+    for i in range(4):
+        t.commit(frame(spark, [(10 * i + j, "a") for j in range(10)]))
+        t.commit(deleted=t.read(positions=True).filter(F.col("k") == 10 * i))
+    want = Counter((i, "a") for i in range(40) if i % 10)
+    assert rows(t.read()) == want and len(t._entry(8)["files"]) <= 4
+    assert rows(t.read(3)) == Counter((i, "a") for i in range(1, 20))
+    assert rows(t.changes(5, 6)) == Counter([(20, "a", "delete")]) and rows(t.changes(6, 8)) == Counter((i, "a", "insert") for i in range(31, 40))
+    ends = [(r.lo.k, r.hi.k) for r in t.entries().collect()]
+    assert min(ends)[0] == 0 and max(ends)[1] == 39
+    near = t.entries().filter("hi.k >= 35")
+    assert {r.k for r in t.read(files=near).collect()} <= set(range(30, 40))
+    data = lambda df: [f for f in df.inputFiles() if "/data/" in f]
+    assert len(data(t.read(files=near))) < len(data(t.read()))
+
+
+def test_compaction_of_worn_files(spark, table):
+    table.commit(frame(spark, [(i, "a") for i in range(10)]).coalesce(1))
+    table.commit(frame(spark, [(i, "b") for i in range(10)]).coalesce(1))
+    table.commit(deleted=table.read(positions=True).filter("v = 'a' AND k < 8"))
+    before = {r.file for r in table.manifest().collect()}
+    table.compact(1, least_dead=0.5)
+    after = {r.file for r in table.manifest().collect()}
+    assert len(before & after) == 1 and len(after) == 2
+    assert rows(table.read()) == Counter([(8, "a"), (9, "a")] + [(i, "b") for i in range(10)])
+    assert rows(table.changes(3, net=True)) == Counter()
