@@ -61,12 +61,15 @@ def pack(
     shards = max(1, -(-int(n_items) // shard_items))
     # Full pieces fill a container alone and need no placing; the rest is placed with the others.
     n_pieces = F.greatest(F.ceil(F.col("size") / F.lit(capacity)).cast("int"), F.lit(1))
+    # Repeated rows, null ids among them, are numbered so that they spread over the shards too.
+    times = items.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("times"))
     pieces = (
-        items.withColumn("n_pieces", n_pieces)
+        times.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+        .withColumn("n_pieces", n_pieces)
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
         .withColumn("start", F.col("piece").cast("long") * F.lit(capacity))
         .withColumn("n_tokens", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("start")))
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "piece"), F.lit(shards)).cast("int"))
+        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "piece", "time"), F.lit(shards)).cast("int"))
     )
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -54,6 +54,32 @@ def p6_bins(spark, d):
     return packing.bin_report(packing.pack(_sized(spark, d), "doc_id", "n_tokens", capacity), capacity)
 
 
+def p6_checks(spark, d):
+    """What must hold of a packing of all documents, counted."""
+    sized, capacity = _sized(spark, d), _capacity(spark, d)
+    packed = materialize(packing.pack(sized, "doc_id", "n_tokens", capacity), "packed")
+    bins = packing.bin_report(packed, capacity)
+    back = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("n"), F.max("n_pieces").alias("pieces"))
+    docs = sized.join(back, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.count_if(~F.col("placed").eqNullSafe(F.col("n_tokens"))).alias("n_incomplete"),
+        F.count_if((F.col("n_tokens") <= capacity) & (F.col("n") > 1)).alias("n_split_needlessly"),
+    )
+    least = F.ceil(F.sum("n_tokens") / F.lit(capacity))
+    overfull = bins.agg(F.count_if(F.col("n_tokens") > capacity)).scalar()
+    return docs.withColumn("n_overfull", overfull).withColumn("nearly_full", bins.agg(F.count(F.lit(1)) <= 1.02 * least + 1).scalar())
+
+
+def p6_fill(spark, d):
+    """Containers used and least possible, and the spread of their cost."""
+    capacity = _capacity(spark, d)
+    bins = packing.bin_report(packing.pack(_sized(spark, d), "doc_id", "n_tokens", capacity), capacity)
+    return bins.agg(
+        F.count(F.lit(1)).alias("n_bins"), F.ceil(F.sum("n_tokens") / F.lit(capacity)).alias("least_bins"), F.min("cost").alias("least_cost"),
+        F.avg("cost").alias("mean_cost"), F.max("cost").alias("greatest_cost"), F.stddev_pop("cost").alias("cost_spread"),
+    )
+
+
 def p7_found(spark, d):
     return mixing.mix(_sized(spark, d, "source"), table(spark, d, "mix_targets")).report.filter("short").select("source")
 
@@ -66,6 +92,28 @@ def p7_shares(spark, d):
     return mixing.mix(_sized(spark, d, "source"), table(spark, d, "mix_targets")).report
 
 
+def p7_checks(spark, d):
+    """What must hold of a mix, per target: every block in its Pfair window, repeats and amounts kept."""
+    targets = table(spark, d, "mix_targets")
+    out = mixing.mix(_sized(spark, d, "source"), targets)
+    goal = targets.select("source", "target_share", "max_repeats").toPandas().sort_values("source")
+    weights = mixing.slot_weights(goal.target_share.tolist())
+    plan = spark.createDataFrame(list(zip(goal.source, weights)), "source string, w long").join(out.report, "source")
+    amount = F.least("wanted", F.col("supply").cast("double"))
+    rows = out.rows.join(plan.select("source", "w", F.greatest(F.floor(amount) - 1, F.lit(0)).alias("last")), "source")
+    i = F.expr(f"least(pos, last) div {mixing.BLOCK_TOKENS}")
+    period = F.lit(sum(weights))
+    inside = (F.floor(i * period / F.col("w")) <= F.col("slot")) & (F.col("slot") < F.ceil((i + 1) * period / F.col("w")))
+    held = rows.groupBy("source").agg(F.bool_and(inside).alias("inside"), F.max("n_tokens").alias("longest"))
+    repeats = targets.select("source", "max_repeats")
+    j = plan.join(held, "source", "left").join(repeats, "source")
+    reached = (F.col("tokens") >= amount - 1) & (F.col("tokens") < amount + F.coalesce("longest", F.lit(0)) + 1)
+    return j.select(
+        "source", "n_docs", F.coalesce("inside", F.lit(True)).alias("in_windows"),
+        (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"), reached.alias("amount_reached"),
+    )
+
+
 def _levels(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return readability.levels(docs, readability.fit_levels(docs, table(spark, d, "reading_labels")))
@@ -85,7 +133,7 @@ def p8_profile(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_top, p4_found, p4_errors, p6_found, p6_packed, p6_bins, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)
+    for f in (p2_found, p2_top, p4_found, p4_errors, p6_found, p6_packed, p6_bins, p6_checks, p6_fill, p7_found, p7_mix, p7_shares, p7_checks, p8_found, p8_levels, p8_profile)
 }
 
 _TOP = f"""
@@ -95,6 +143,12 @@ FROM update_log WHERE rec_key IS NOT NULL GROUP BY rec_key QUALIFY rank <= {TOP_
 SQL = {
     "p2_found": f"SELECT rec_key FROM ({_TOP})",
     "p2_top": f"SELECT rec_key, n, CAST(rank AS INTEGER) AS rank FROM ({_TOP})",
+    "p6_checks": """SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_incomplete, CAST(0 AS BIGINT) AS n_split_needlessly,
+  CAST(0 AS BIGINT) AS n_overfull, true AS nearly_full FROM documents""",
+    "p7_checks": r"""
+SELECT t.source, count(d.k) AS n_docs, true AS in_windows, true AS repeats_kept, true AS amount_reached FROM mix_targets t
+LEFT JOIN (SELECT regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g') AS k FROM documents) d ON d.k = t.source
+GROUP BY t.source""",
     "p4_found": """
 SELECT log_id FROM (
   SELECT log_id, rec_key, row_number() OVER (PARTITION BY rec_key ORDER BY log_id) AS rn FROM update_log WHERE rec_key IS NOT NULL)

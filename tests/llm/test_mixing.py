@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from keyweave.llm.mixing import mix, pfair_slots, source_key
+from keyweave.llm.mixing import mix, pfair_slots, slot_weights, source_key
 from keyweave.llm.queries import QUERIES
 
 DOCS = "doc_id long, source string, n_tokens long, k string, slot int, name string"
@@ -58,14 +59,28 @@ def test_mix(spark, bucket_rows, block):
         amount = min(share * total, size[s] * repeats)
         assert amount - 1 <= tokens[s] < amount + longest + 1
         assert r.tokens == tokens[s] and r.actual_share == pytest.approx(tokens[s] / sum(tokens.values()))
-    # along the slots every source stays near its final share, up to whole documents
-    done, at = Counter(), 0
-    for r in sorted(rows, key=lambda r: (r.slot, r.pos)):
-        if r.slot != at:
-            at = r.slot
-            for s in tokens:
-                assert abs(done[s] - tokens[s] * sum(done.values()) / sum(tokens.values())) < 2 * block + 2 * longest
-        done[r.source] += r.n_tokens
+    # every block lies in its window, so each source is less than a block from its weight while it lasts
+    weights = dict(zip(sorted(t[0] for t in targets), slot_weights([t[1] for t in sorted(targets)])))
+    period = sum(weights.values())
+    for r in rows:
+        a, i = weights[r.source], min(r.pos, max(0, int(min(report[r.source].wanted, report[r.source].supply)) - 1)) // block
+        assert i * period // a <= r.slot < -(-(i + 1) * period // a)
+
+
+def test_weights():
+    assert slot_weights([0.13, 0.18, 0.69]) == [13, 18, 69] and slot_weights([0.5, 0, 0.5]) == [1, 0, 1]
+    assert slot_weights([1 / 3, 2 / 3], 30) == [1, 2] and slot_weights([]) == [] and slot_weights([0.0]) == [0]
+    thirds = slot_weights([1 / 7, 2 / 7, 4 / 7], 1000)
+    assert sum(thirds) == 1000 and thirds == [143, 286, 571] and slot_weights([1e-9, 1.0])[0] == 1
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = [(None, "a", 3, "", 0, "")] * 500 + [(7, "a", 5, "", 0, "")] * 3 + [(8, "b", 2000, "", 0, "")]
+    out = mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], TARGETS), block_tokens=100)
+    rows = out.rows.collect()
+    whole = [r for r in rows if r.source == "a" and r.copy == 0]
+    assert len(whole) == 503 and sorted(r.pos for r in whole)[:2] != [0, 0] and len({r.pos for r in whole}) == 503
+    assert len({r.slot for r in rows if r.source == "a"}) >= 17
 
 
 def test_empty(spark):
@@ -91,3 +106,7 @@ def test_found(spark, sf):
     goal = spark.read.parquet(f"{sf}/mix_targets.parquet").collect()
     total = sum(size[g.source] for g in goal)
     assert got == {g.source for g in goal if size[g.source] * g.max_repeats < g.target_share * total}
+
+
+def test_sql(spark, sf):
+    assert oracle.check(spark, "p7_checks", sf) == 9

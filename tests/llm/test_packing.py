@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,13 @@ def test_little_space_is_left(spark):
     assert all(r.unused == 2048 - r.n_tokens >= 0 for r in report)
 
 
+def test_repeated_rows_spread_over_the_shards(spark):
+    docs = [(None, 16, None, None, None)] * 4000
+    packed = pack(spark.createDataFrame(docs, SCHEMA), "doc_id", "n_tokens", 64, shard_items=200).collect()
+    per = [sum(r.shard == s for r in packed) for s in range(20)]
+    assert len(packed) == 4000 and max(per) < 300 and min(per) > 100
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert pack(none, "doc_id", "n_tokens", 10).collect() == []
@@ -88,3 +96,7 @@ def test_found_are_the_documents_above_capacity(spark, sf):
     want = {r.doc_id for r in docs.filter("n > 2048").collect()}
     got = [r.doc_id for r in QUERIES["p6_found"](spark, sf).collect()]
     assert set(got) == want and len(got) == len(want) > 0
+
+
+def test_sql(spark, sf):
+    assert oracle.check(spark, "p6_checks", sf) == 1
