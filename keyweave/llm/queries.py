@@ -31,6 +31,10 @@ def p4_errors(spark, d):
     return _seen(spark, d).report
 
 
+def p4_counts(spark, d):
+    return _seen(spark, d).report.select("n_rows", "n_new")
+
+
 def _sized(spark, d, *more):
     docs = spread(table(spark, d, "documents").select("doc_id", "text", *more))
     return materialize(docs.select("doc_id", *more, tokens.token_count(F.col("text")).alias("n_tokens")), "sized")
@@ -133,7 +137,7 @@ def p8_profile(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_top, p4_found, p4_errors, p6_found, p6_packed, p6_bins, p6_checks, p6_fill, p7_found, p7_mix, p7_shares, p7_checks, p8_found, p8_levels, p8_profile)
+    for f in (p2_found, p2_top, p4_found, p4_errors, p4_counts, p6_found, p6_packed, p6_bins, p6_checks, p6_fill, p7_found, p7_mix, p7_shares, p7_checks, p8_found, p8_levels, p8_profile)
 }
 
 _TOP = f"""
@@ -149,6 +153,9 @@ SQL = {
 SELECT t.source, count(d.k) AS n_docs, true AS in_windows, true AS repeats_kept, true AS amount_reached FROM mix_targets t
 LEFT JOIN (SELECT regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g') AS k FROM documents) d ON d.k = t.source
 GROUP BY t.source""",
+    "p4_counts": """
+SELECT count(rec_key) AS n_rows, count(DISTINCT rec_key) - (SELECT count(DISTINCT rec_key) FROM update_log
+  WHERE rec_key IN (SELECT key_ptr FROM tiny_records)) AS n_new FROM update_log""",
     "p4_found": """
 SELECT log_id FROM (
   SELECT log_id, rec_key, row_number() OVER (PARTITION BY rec_key ORDER BY log_id) AS rn FROM update_log WHERE rec_key IS NOT NULL)
