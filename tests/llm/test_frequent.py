@@ -6,7 +6,7 @@ from collections import Counter
 import oracle
 import pytest
 
-from keyweave.llm.frequent import most_frequent
+from keyweave.llm.frequent import first_bits, most_frequent, next_bits
 
 
 def brute(values, k):
@@ -20,9 +20,9 @@ def run(spark, values, k, **kw):
     return sorted((tuple(r) for r in most_frequent(df, "v", k, **kw).collect()), key=lambda r: r[2])
 
 
-@pytest.mark.parametrize("bits", [(2, 5), (16, 32), (1, 2, 3)])
+@pytest.mark.parametrize("counters", [4, 64, 1 << 22])
 @pytest.mark.parametrize("shape", ["skewed", "flat", "third"])
-def test_top(spark, bits, shape):
+def test_top(spark, counters, shape):
     rnd = random.Random(len(shape))
     if shape == "skewed":
         values = [f"k{int(rnd.paretovariate(0.8))}" for _ in range(3000)]
@@ -32,7 +32,7 @@ def test_top(spark, bits, shape):
         values = ["hot"] * 1000 + [f"k{rnd.randrange(1500)}" for _ in range(2000)]
     values += [None] * 500 + ["", "x" * 10_000, "ü"] * 3
     rnd.shuffle(values)
-    assert run(spark, values, 10, prefix_bits=bits, beam_per_value=1) == brute(values, 10)
+    assert run(spark, values, 10, counters=counters, beam_per_value=1) == brute(values, 10)
 
 
 def test_few_and_none(spark):
@@ -41,6 +41,18 @@ def test_few_and_none(spark):
     assert run(spark, [], 5) == []
 
 
+def test_rounds_stay_within_the_counters():
+    assert first_bits(4_000_000) == 12 and first_bits(10**11) == 22 and first_bits(0) == 1
+    for rows in (10**4, 10**8, 10**11):
+        bits = first_bits(rows)
+        for kept in (10, 10**4, 10**6):
+            at, rounds = bits, 0
+            while (longer := next_bits(at, kept, rows)) is not None:
+                assert longer > at and (kept << (longer - at) <= 1 << 22 or longer == at + 4)
+                at, rounds = longer, rounds + 1
+            assert rounds <= 4 and kept * rows / 2**at <= 1 << 22
+
+
 @pytest.mark.parametrize("name", ["p2_found", "p2_top"])
 def test_sql(spark, sf, name):
     assert oracle.check(spark, name, sf) == 25
