@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyweave.session import materialize
+
 #: Rows of one key that one task processes at once.
 CHUNK_ROWS = 50_000
 #: Rows per input block, and the most quantiles that are literals of the plan. More blocks than
@@ -34,12 +36,18 @@ def block_of(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> Column:
     Quantiles of ``order`` give ranges of equal size, which are cut evenly into as many blocks as the
     row count needs. Blocks only balance the work: offsets are counted exactly for whatever they are.
     """
-    n, lo, hi = df.select(F.count(order), F.min(order), F.max(order)).head()
+    return _blocks(df, order, block_rows)[0]
+
+
+def _blocks(df: DataFrame, order: str, block_rows: int) -> tuple[Column, int]:
+    """(the block of a row, rows of ``df``), after one scan of ``order``."""
+    at = [i / MAX_QUANTILES for i in range(1, MAX_QUANTILES)]
+    total, n, lo, hi, inner = df.select(F.count(F.lit(1)), F.count(order), F.min(order), F.max(order), F.percentile_approx(order, at, 10_000)).head()
     blocks = max(1, -(-n // block_rows))
-    ranges = min(MAX_QUANTILES, blocks)
     if blocks == 1:
-        return F.lit(0).cast("long")
-    inner = df.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).head()[0]
+        return F.lit(0).cast("long"), total
+    ranges = min(MAX_QUANTILES, blocks)
+    inner = [inner[i * MAX_QUANTILES // ranges - 1] for i in range(1, ranges)]
     ends = [*sorted({x for x in inner if x < hi}), hi]
     parts = -(-blocks // ranges)
 
@@ -54,7 +62,7 @@ def block_of(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> Column:
         mid = (first + last) // 2
         return F.when(F.col(order) <= F.lit(ends[mid]), tree(first, mid)).otherwise(tree(mid + 1, last))
 
-    return F.coalesce(tree(0, len(ends) - 1), F.lit(0).cast("long"))
+    return F.coalesce(tree(0, len(ends) - 1), F.lit(0).cast("long")), total
 
 
 def chunk_keys(
@@ -67,10 +75,15 @@ def chunk_keys(
     ``chunk_rows`` rows are a single chunk 0, so only the few longer keys (at most rows/chunk_rows of
     them) have their rows numbered.
     """
+    return _chunked(df, keys, order, chunk_rows, block_rows)[0]
+
+
+def _chunked(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int = CHUNK_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
     names = df.columns
     work = df.toDF(*[f"c{i}" for i in range(len(names))])  # no name of the input can clash
     ks, o = [f"c{names.index(k)}" for k in keys], f"c{names.index(order)}"
-    placed = work.withColumn("block", block_of(work, o, block_rows))
+    block, total = _blocks(work, o, block_rows)
+    placed = work.withColumn("block", block)
     counts = placed.groupBy(*ks, "block").agg(F.count(F.lit(1)).alias("n"))
     per_key = Window.partitionBy(*ks)
     before = per_key.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,15 +93,17 @@ def chunk_keys(
         .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .select(*[F.col(k).alias(f"__{k}") for k in ks], F.col("block").alias("__block"), "offset")
     )
-    joined = placed.join(offsets, _same(placed, offsets, [*ks, "block"]), "left")
-    # Short keys stay out of the numbering sort; the long ones are sorted block by block.
+    # Written first: at most rows/chunk_rows keys, whose size is known when the joins are planned. Small,
+    # it is broadcast, and then only rows of long keys move, to be numbered block by block.
+    offsets = materialize(offsets, "offsets")
+    long_keys = offsets.select(*[f"__{k}" for k in ks]).distinct()
     local = Window.partitionBy(*ks, "block").orderBy(o)
-    long_rows = joined.filter("offset IS NOT NULL").withColumn(
+    long_rows = placed.join(offsets, _same(placed, offsets, [*ks, "block"])).withColumn(
         "chunk", F.floor((F.col("offset") + F.row_number().over(local) - 1) / F.lit(chunk_rows)).cast("long")
     )
-    short_rows = joined.filter("offset IS NULL").withColumn("chunk", F.lit(0).cast("long"))
-    both = long_rows.select(*work.columns, "chunk").unionByName(short_rows.select(*work.columns, "chunk"))
-    return both.toDF(*names, "__chunk")
+    short_rows = work.join(long_keys, _same(work, long_keys, ks), "left_anti").withColumn("chunk", F.lit(0).cast("long"))
+    both = long_rows.select(*work.columns, "chunk").unionByName(short_rows)
+    return both.toDF(*names, "__chunk"), total
 
 
 def apply_chunks(chunked: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -139,7 +154,7 @@ def ordered_profile(
 def heavy_keys(df: DataFrame, keys: Sequence[str], order: str, share: float, **sizes: int) -> DataFrame:
     """Keys with more than ``share`` of all rows: ``keys..., n, n_chunks``, from merged chunk counts."""
     slim = df.select(*keys, order)
-    chunked = chunk_keys(slim, keys, order, **sizes)
+    chunked, total = _chunked(slim, keys, order, **sizes)
     states = chunked.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
     merged = states.groupBy(*keys).agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("n_chunks"))
-    return merged.filter(F.col("n") > F.lit(share) * slim.select(F.count(F.lit(1))).scalar())
+    return merged.filter(F.col("n") > F.lit(share * total))
