@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import islice
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -207,13 +209,19 @@ def case_search(s: Column, pattern: str) -> Column:
 
 
 def search_whole(s: Column, pattern: str, max_results: int = 0) -> Column:
-    """Byte offsets of all occurrences, overlapping ones too; an empty pattern is everywhere."""
-    text, p = byte_view(s), byte_view(F.lit(pattern))
-    n = len(pattern.encode())
-    at = F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0)))
-    hits = F.filter(at, lambda i: (F.length(text) >= i + n) & (F.substring(text, i + 1, F.lit(n)) == p))
-    hits = F.filter(at, lambda i: i < F.length(text)) if n == 0 else hits
-    return F.slice(hits, 1, max_results) if max_results else hits
+    """Byte offsets of all occurrences, overlapping ones too; an empty pattern is everywhere but at the
+    end. Linear in the text: one pass per value inside Arrow batches."""
+    wanted = re.compile(b"(?s)(?=" + re.escape(pattern.encode()) + (b")" if pattern else b".)"))
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[int] | None:
+            found = None if text is None else (m.start() for m in wanted.finditer(text.encode()))
+            return None if found is None else list(islice(found, max_results or None))
+
+        return texts.map(one)
+
+    return run(s)
 
 
 def search_batch(s: Column, patterns: Sequence[str]) -> Column:
@@ -235,23 +243,73 @@ def case_word_search(s: Column, pattern: str) -> Column:
     return word_search(lower_ascii(s), pattern.translate(str.maketrans(UPPER, LOWER)))
 
 
+_BRACKET = re.compile(r"\[(\^?)(\]?)((?:\[:\w+:\]|[^\]])*)\]")
+_CLASS = re.compile(r"\[:(\w+):\]")
+
+
+def _named_class(m: re.Match) -> str:
+    return "\\p{XDigit}" if m[1] == "xdigit" else f"\\p{{{m[1].capitalize()}}}"
+
+
+def _from_basic(body: str) -> str:
+    """A pattern of the basic POSIX grammar in Java's: groups and counts are escaped there, plus, question
+    mark, bar, braces and parentheses are plain characters, as is a leading star, and so is a backslash
+    between brackets."""
+    out, at = [], 0
+    while at < len(body):
+        c = body[at]
+        bracket = _BRACKET.match(body, at) if c == "[" else None
+        if bracket:
+            inner = re.sub(r"\[:\w+:\]|[\\\[&]", lambda m: m[0] if len(m[0]) > 1 else "\\" + m[0], bracket[3])
+            out.append(f"[{bracket[1]}{'\\]' if bracket[2] else ''}{inner}]")
+            at = bracket.end()
+            continue
+        if c == "\\" and at + 1 < len(body):
+            out.append(body[at + 1] if body[at + 1] in "(){}" else body[at : at + 2])
+            at += 2
+            continue
+        leading = not out or out[-1] in ("(", "^")
+        out.append("\\" + c if c in "+?|(){}" or (c == "*" and leading) else c)
+        at += 1
+    return "".join(out)
+
+
+def _compiles(pattern: str) -> bool:
+    """Whether the engine that will run the pattern takes it: Java's, if a session is up."""
+    context = SparkContext._active_spark_context
+    try:
+        if context is None:
+            re.compile(pattern)
+        else:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:
+        return False
+    return True
+
+
 def java_regex(pattern: str) -> str | None:
-    """The pattern for Spark, its leading flags (``i`` and a flavour) translated; None if it is bad.
+    """The pattern for Spark, its leading flags translated; None if it is bad.
 
-    Only the common flavour is supported: a, b, e and l are read like it."""
+    ``(?i...)`` folds the case of ASCII letters. Flavours: ``b`` is the basic POSIX grammar; ``a`` and
+    ``e`` are read like the common one, of which the extended grammar is a part; in ``l`` a line feed
+    parts alternatives."""
     m = re.match(r"\(\?([abeil]+)\)", pattern)
     body, flags = (pattern[m.end() :], m[1]) if m else (pattern, "")
-    try:
-        re.compile(body)
-    except re.error:
-        return None
-    return ("(?i)" if "i" in flags else "") + body
+    if "b" in flags:
+        body = _from_basic(body)
+    if "l" in flags:
+        body = "|".join(body.split("\n"))
+    java = ("(?i)" if "i" in flags else "") + _CLASS.sub(_named_class, body)
+    return java if _compiles(java) else None
 
 
 def search_regex(s: Column, pattern: str) -> Column:
-    """Offset of the first match in characters, -1 without one, -2 for a bad pattern."""
+    """Byte offset of the first match, -1 without one, -2 for a bad pattern. Text and pattern are
+    matched byte by byte, so a dot is one byte."""
     java = java_regex(pattern)
-    return F.lit(-2) if java is None else F.regexp_instr(s, F.lit(java)) - 1
+    if java is None:
+        return F.when(s.isNotNull(), F.lit(-2))
+    return F.regexp_instr(byte_view(s), F.lit(java.encode().decode("latin-1"))) - 1
 
 
 def replace_regex(s: Column, pattern: str, replacement: str) -> Column:
@@ -280,10 +338,12 @@ def decode_base64(s: Column) -> Column:
 
 def encode_url(s: Column) -> Column:
     """All but letters, digits and ``_-.~`` as lower-case hex escapes."""
-    hexed = F.regexp_replace(F.lower(F.hex(s.cast("binary"))), "(..)", "%$1")
-    for c in LOWER + UPPER + "0123456789_-.~":
-        hexed = F.replace(hexed, F.lit(f"%{ord(c):02x}"), F.lit(c))
-    return hexed
+    form = F.url_encode(s)
+    for made, meant in (("+", "%20"), ("*", "%2a"), ("%7E", "~")):
+        form = F.replace(form, F.lit(made), F.lit(meant))
+    parts = F.split(form, "%", -1)
+    lowered = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lower(F.substring(p, 1, 2)), F.substring(p, F.lit(3), F.length(p)))))
+    return F.array_join(lowered, "%")
 
 
 def to_ucs4(s: Column) -> Column:

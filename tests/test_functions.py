@@ -50,14 +50,23 @@ STRINGS = [
     (lambda c: S.case_search(c, "ABC"), {"xaBc": 1}),
     (lambda c: S.search_whole(c, "aa"), {"aaaa": [0, 1, 2], "b": [], "": []}),
     (lambda c: S.search_whole(c, "aa", 2), {"aaaa": [0, 1]}),
-    (lambda c: S.search_whole(c, ""), {"abc": [0, 1, 2]}),
+    (lambda c: S.search_whole(c, ""), {"abc": [0, 1, 2], None: None}),
+    (lambda c: S.search_whole(c, "本本"), {"日本本本": [3, 6]}),
     (lambda c: S.search_batch(c, ["b", "z"]), {"abc": [1, -1]}),
     (lambda c: S.word_search(c, "hop"), {"hop step jump": 0, "hops": -1, "a-hop_": 2}),
     (lambda c: S.word_search(c, " step "), {"hop step jump": 3}),
     (lambda c: S.word_search(c, "ste"), {"hop step jump": -1}),
     (lambda c: S.case_word_search(c, "STEP"), {"hop Step jump": 4}),
     (lambda c: S.search_regex(c, "(?i)B+"), {"abb": 1, "x": -1}),
-    (lambda c: S.search_regex(c, "("), {"abb": -2}),
+    (lambda c: S.search_regex(c, "("), {"abb": -2, None: None}),
+    (lambda c: S.search_regex(c, "(?P<x>a)"), {"abb": -2}),
+    (lambda c: S.search_regex(c, "abc"), {"日本語abc": 9, "äbc": -1, None: None}),
+    (lambda c: S.search_regex(c, "語."), {"日本語abc": 6}),
+    (lambda c: S.search_regex(c, "(?b)a+b"), {"aab": -1, "xa+b": 1}),
+    (lambda c: S.search_regex(c, r"(?b)\(a\{2\}\)|*"), {"xaa|": 1, "xa|": -1, "aa|||": 0}),
+    (lambda c: S.search_regex(c, r"(?b)[]\x]"), {"ab": -1, "a]": 1, "a\\": 1}),
+    (lambda c: S.search_regex(c, "(?l)q\nb+"), {"abb": 1, "x": -1}),
+    (lambda c: S.search_regex(c, "[[:digit:]]+[[:xdigit:]]"), {"ab12f": 2}),
     (lambda c: S.replace_regex(c, "(b)(c)", "$2$1"), {"abcd": "acbd"}),
     (lambda c: S.replace_regex(c, "(", ""), {"x": ""}),
     (lambda c: S.edit_distance(c, "abc"), {"abxc": 1, "": 3}),
