@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterable
 from decimal import Decimal
@@ -99,21 +100,51 @@ def _number_udf(kind: str, fn):
     return lambda n: run(F.coalesce(n.cast("long"), F.lit(0)), n.isNotNull())
 
 
+def _extended(v: float) -> bytes:
+    """A double as sign, 15 bits of exponent and 64 of significand, in the last 10 of 16 bytes."""
+    bits = struct.unpack(">Q", struct.pack(">d", v))[0]
+    sign, exponent, fraction = bits >> 63, bits >> 52 & 0x7FF, bits & (1 << 52) - 1
+    if exponent == 0x7FF:
+        wide, significand = 0x7FFF, 1 << 63 | fraction << 11
+    elif exponent:
+        wide, significand = exponent + 16383 - 1023, 1 << 63 | fraction << 11
+    elif fraction:
+        shift = 64 - fraction.bit_length()
+        wide, significand = 16383 - 1011 - shift, fraction << shift
+    else:
+        wide = significand = 0
+    return b"\0" * 6 + struct.pack(">HQ", sign << 15 | wide, significand)
+
+
+def _from_extended(b: bytes) -> float:
+    head, significand = struct.unpack(">HQ", b[6:])
+    sign, wide = (-1.0 if head >> 15 else 1.0), head & 0x7FFF
+    if wide == 0x7FFF:
+        return math.nan if significand << 1 & 2**64 - 1 else sign * math.inf
+    try:
+        return sign * math.ldexp(significand, max(wide, 1) - 16383 - 63)
+    except OverflowError:
+        return sign * math.inf
+
+
 def float_to_big_endian(x: Column, size: int = 8) -> Column:
-    """4 or 8 bytes; NaN keeps its pattern, null stays null."""
-    code = {4: ">f", 8: ">d"}[size]
+    """4 or 8 bytes, or 16 with the extended format in the last 10; NaN keeps its pattern, null stays null."""
+    code = {4: ">f", 8: ">d", 16: ""}[size]
+    pack = (lambda v: _extended(v)) if size == 16 else (lambda v: struct.pack(code, v))
 
     @F.pandas_udf("binary")
     def run(values: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([struct.pack(code, v) if k else None for v, k in zip(values, known)], dtype=object)
+        return pd.Series([pack(v) if k else None for v, k in zip(values, known)], dtype=object)
 
     return run(x.cast("double"), x.isNotNull())
 
 
 def big_endian_to_float(b: Column) -> Column:
-    """4 or 8 bytes; any other length gives 0."""
+    """4, 8 or 16 bytes; any other length gives 0."""
 
     def one(v: bytes) -> float:
+        if len(v) == 16:
+            return _from_extended(v)
         return struct.unpack(">d", v)[0] if len(v) == 8 else struct.unpack(">f", v)[0] if len(v) == 4 else 0.0
 
     return _udf("double", one)(b)
@@ -204,7 +235,7 @@ def deserialize_varints(b: Column, signed: bool = False) -> Column:
 
 
 def compress(b: Column, codec: str = "zlib") -> Column:
-    """Per-value compression: none, zlib, zstd or lzma."""
+    """Per-value compression: none, zlib, zstd, lz4 or lzma."""
     return _udf("binary", _codec(codec)[0])(b.cast("binary"))
 
 
@@ -243,6 +274,15 @@ def _codec(name: str):
         import zstandard
 
         return (lambda v: zstandard.ZstdCompressor().compress(v)), (lambda v: zstandard.ZstdDecompressor().decompress(v, max_output_size=1 << 31))
+    if name == "lz4":
+        import pyarrow
+
+        raw = pyarrow.Codec("lz4_raw")
+        # The block format does not tell the size, so it stands in front.
+        return (
+            lambda v: struct.pack(">I", len(v)) + (raw.compress(v, asbytes=True) if v else b""),
+            lambda v: raw.decompress(v[4:], struct.unpack(">I", v[:4])[0], asbytes=True) if len(v) > 4 else v[4:],
+        )
     raise ValueError(f"no such codec: {name}")
 
 

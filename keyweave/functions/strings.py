@@ -148,6 +148,11 @@ def split_map(s: Column, delim_records: str = ",", delim_kv: str = "=") -> Colum
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(pairs, lambda p: p["k"] == k)[0]["v"]))
 
 
+def search_map(m: Column, key: str | Column, default: str | Column = "") -> Column:
+    """The value of a key of a map, or the default; a null map has no keys."""
+    return F.coalesce(F.try_element_at(m, lit(key)), lit(default))
+
+
 def join(parts: Column, delim: str = ",") -> Column:
     return F.array_join(parts, delim)
 

@@ -22,6 +22,13 @@ def wall_time() -> Column:
     return F.unix_micros(F.current_timestamp()) / 1e6
 
 
+def local_difference(t: Column, zone: str | None = None) -> Column:
+    """Seconds a zone (the session's unless named) is ahead of UTC at a time."""
+    at = F.timestamp_seconds(F.floor(t))
+    there = F.from_utc_timestamp(at, F.lit(zone) if zone else F.current_timezone())
+    return F.unix_seconds(there) - F.unix_seconds(at)
+
+
 def _local(t: Column, offset: int) -> Column:
     seconds = (F.floor(t) + F.lit(offset)).cast("decimal(18,6)")
     return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from enum import StrEnum
 
 from pyspark.sql import Column, DataFrame
@@ -83,10 +84,16 @@ ORDERS = {
 }
 
 
-def sort_keys(order: str, key: Column, second: Column | None = None) -> list[Column]:
+#: An order: its name, or a function from a key column to the columns to sort by.
+Order = str | Callable[[Column], list[Column]]
+
+
+def sort_keys(order: Order, key: Column, second: Column | None = None) -> list[Column]:
     """Sort keys of an order by name, case-insensitively, with or without ``keycomparator`` at its
     end. ``pair...`` orders compare ``second`` by its bytes after the key. Where keys compare equal
     without being the same, callers add the key itself for a fixed order."""
+    if callable(order):
+        return order(key)
     name = order.lower().removesuffix("keycomparator")
     pair = name.startswith("pair")
     if pair and second is None:
@@ -97,7 +104,7 @@ def sort_keys(order: str, key: Column, second: Column | None = None) -> list[Col
     return ORDERS[name](key) + ([second] if pair else [])
 
 
-def identity(order: str, key: Column) -> Column:
+def identity(order: Order, key: Column) -> Column:
     """What makes two keys the same record in an order."""
     keys = sort_keys(order, key)
     return keys[0] if len(keys) == 1 else F.struct(*keys)

@@ -70,6 +70,12 @@ def filter_origin(log: DataFrame, server_id: int = EVERYTHING, dbm_index: int =
     return log.filter(origin_matches(F.col("server_id"), server_id) & origin_matches(F.col("dbm_index"), dbm_index))
 
 
+def wanted(log: DataFrame, server_id: int = EVERYTHING, dbm_index: int = EVERYTHING, min_timestamp: int | None = None) -> DataFrame:
+    """Entries of the wanted origins, not older than the minimum."""
+    some = filter_origin(log, server_id, dbm_index)
+    return some if min_timestamp is None else some.filter(F.col("ts") >= min_timestamp)
+
+
 def apply_status(log: DataFrame, server_id: int = EVERYTHING, dbm_index: int = EVERYTHING) -> DataFrame:
     """``seq, status`` of applying each entry: broken, infeasible or a success (a missing key is one)."""
     ok = origin_matches(F.col("server_id"), server_id) & origin_matches(F.col("dbm_index"), dbm_index)
@@ -83,10 +89,7 @@ def replay(
 ) -> DataFrame:
     """One table (key, value) after a log ``ts, seq, op, server_id, dbm_index, key, value``, all of
     whose wanted entries apply to it in the order of ``seq``; a clear discards the base too."""
-    wanted = filter_origin(log, server_id, dbm_index)
-    if min_timestamp is not None:
-        wanted = wanted.filter(F.col("ts") >= min_timestamp)
-    filled = wanted.withColumn(VALUE, F.coalesce(F.col(VALUE), F.lit("").cast(base.schema[VALUE].dataType)))
+    filled = wanted(log, server_id, dbm_index, min_timestamp).withColumn(VALUE, F.coalesce(F.col(VALUE), F.lit("").cast(base.schema[VALUE].dataType)))
     return apply_changes(filled, scope=[], key=KEY, seq="seq", op="op", fields=[VALUE], base=base.select(KEY, VALUE)).select(KEY, VALUE)
 
 

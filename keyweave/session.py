@@ -6,9 +6,12 @@ import atexit
 import hashlib
 import io
 import logging
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,7 @@ log = logging.getLogger("keyweave")
 BROADCAST_ROWS = 200_000
 
 _scratch: list[tuple[SparkSession, str]] = []
+_kept: set[str] = set()
 _shipped: set[str] = set()
 
 
@@ -52,15 +56,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, kept: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
 
-    The copy lives on shared storage, so a lost executor costs no recomputation.
+    The copy lives on shared storage, so a lost executor costs no recomputation. It goes with the
+    :func:`scratch_scope` it was made in, unless ``kept``, else with the session.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/keyweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _scratch.append((spark, path))
+    if kept:
+        _kept.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,9 +78,19 @@ def kept_path(spark: SparkSession, label: str, what: str) -> str:
     path = f"{scratch_dir(spark)}/keyweave/{app}-{label}-{hashlib.md5(what.encode()).hexdigest()}"
     if (spark, path) not in _scratch:
         _scratch.append((spark, path))
+        _kept.add(path)
     return path
 
 
+def release(frame: DataFrame) -> None:
+    """Delete what one :func:`materialize` wrote; nothing may read it any more."""
+    for path in {f.rpartition("/")[0] for f in frame.inputFiles()}:
+        mine = [x for x in _scratch if re.sub("^file:/+", "/", x[1]) == re.sub("^file:/+", "/", path)]
+        for entry in mine:
+            _scratch.remove(entry)
+            delete_path(*entry)
+
+
 def release_scratch() -> None:
     """Delete what :func:`materialize` wrote; results that still read it must be consumed first."""
     while _scratch:
@@ -84,6 +101,18 @@ def release_scratch() -> None:
             log.debug("scratch %s not deleted", path)
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """What is materialised inside is deleted at the end: for results that are consumed there."""
+    kept = list(_scratch)
+    try:
+        yield
+    finally:
+        for spark, path in [x for x in _scratch if x not in kept and "/keyweave/" in x[1] and x[1] not in _kept]:
+            _scratch.remove((spark, path))
+            delete_path(spark, path)
+
+
 atexit.register(release_scratch)
 
 

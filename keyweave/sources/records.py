@@ -7,14 +7,14 @@ are read in parallel. The text formats are Spark's own text source with expressi
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 import uuid
 from collections.abc import Iterator
 from typing import BinaryIO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -55,16 +55,21 @@ def read_flat(src: BinaryIO) -> Iterator[tuple[bool, bytes]]:
         yield head[0] == FLAT_METADATA, data
 
 
-def _local(path: str) -> str:
-    return re.sub(r"^file:/+", "/", path)
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path in it) of a path or URI: local disks, HDFS and object stores alike."""
+    path = re.sub(r"^file:/+", "/", path)
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", path):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
 
 
-def _files(path: str, suffix: str = "") -> list[str]:
-    path = _local(path)
-    if os.path.isfile(path):
-        return [path]
-    names = sorted(f for f in os.listdir(path) if not f.startswith(("_", ".")) and f.endswith(suffix))
-    return [os.path.join(path, f) for f in names]
+def list_files(path: str, suffix: str = "") -> list[str]:
+    """Files of a folder (or the file itself) in the order of their names; hidden ones are left out."""
+    system, p = file_system(path)
+    if system.get_file_info(p).type == fs.FileType.File:
+        return [p]
+    found = [f.path for f in system.get_file_info(fs.FileSelector(p, allow_not_found=True)) if f.type == fs.FileType.File]
+    return sorted(f for f in found if not f.rpartition("/")[2].startswith(("_", ".")) and f.endswith(suffix))
 
 
 class _File(InputPartition):
@@ -85,7 +90,7 @@ class FlatRecordSource(DataSource):
         return _FlatReader(self.options["path"], len(schema) == 1)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _FlatWriter(_local(self.options["path"]), overwrite)
+        return _FlatWriter(self.options["path"], overwrite)
 
 
 class _FlatReader(DataSourceReader):
@@ -93,10 +98,10 @@ class _FlatReader(DataSourceReader):
         self._path, self._keys_only = path, keys_only
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(f) for f in _files(self._path)]
+        return [_File(f) for f in list_files(self._path)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb", 1 << 20) as f:
+        with file_system(self._path)[0].open_input_stream(partition.value, buffer_size=1 << 20) as f:
             data = (d for meta, d in read_flat(f) if not meta)
             if self._keys_only:
                 yield from ((d,) for d in data)
@@ -120,9 +125,10 @@ class _FlatWriter(DataSourceWriter):
         self._path, self._overwrite = path, overwrite
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self._path, exist_ok=True)
-        name = os.path.join(self._path, f".part-{uuid.uuid4().hex}.flat")
-        with open(name, "wb", 1 << 20) as f:
+        system, folder = file_system(self._path)
+        system.create_dir(folder, recursive=True)
+        name = f"{folder}/.part-{uuid.uuid4().hex}.flat"
+        with system.open_output_stream(name, buffer_size=1 << 20) as f:
             for row in rows:
                 for data in row:
                     data = b"" if data is None else data.encode() if isinstance(data, str) else bytes(data)
@@ -130,17 +136,19 @@ class _FlatWriter(DataSourceWriter):
         return _Written(name)
 
     def commit(self, messages: list) -> None:
-        old = _files(self._path, ".flat") if self._overwrite and os.path.isdir(self._path) else []
+        system = file_system(self._path)[0]
+        old = list_files(self._path, ".flat") if self._overwrite else []
         for i, m in enumerate(x for x in messages if x is not None):
-            head, tail = os.path.split(m.path)
-            os.rename(m.path, os.path.join(head, f"part-{i:05d}-{tail[6:]}"))
+            head, _, tail = m.path.rpartition("/")
+            system.move(m.path, f"{head}/part-{i:05d}-{tail[6:]}")
         for f in old:
-            os.remove(f)
+            system.delete_file(f)
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            system = file_system(self._path)[0]
+            if m is not None and system.get_file_info(m.path).type == fs.FileType.File:
+                system.delete_file(m.path)
 
 
 # Queue files
@@ -176,25 +184,86 @@ def read_queue(src: BinaryIO, min_timestamp: int = 0, offset: int = 0, ignore_br
         at += QUEUE_HEADER + n + 1
 
 
-def write_queue(prefix: str, messages: list[tuple[int, bytes]], max_file_size: int = 1 << 30, first_file: int = 0) -> list[str]:
-    """Append messages to numbered files ``prefix.0000000000``; times are made non-decreasing, a new
-    file starts when the size is reached. For producers of modest rate; bulk data is Parquet."""
-    written, last, file_id, out = [], 0, first_file, None
-    try:
+def queue_paths(prefix: str) -> list[str]:
+    """The numbered files of a queue, in order."""
+    folder, _, name = prefix.rpartition("/")
+    return [f for f in list_files(folder or ".") if re.fullmatch(re.escape(name) + r"\.\d{10}", f.rpartition("/")[2])]
+
+
+class QueueWriter:
+    """Appends messages to the numbered files ``prefix.0000000000`` of a queue, for producers of modest
+    rate (bulk data is Parquet).
+
+    A queue that exists is taken up where it ends: its last file is read once, a cut-off record at its
+    end is dropped with a new file. Times never decrease, over files and writers: a message that claims
+    an earlier time than the last one gets that one's. A new file starts when the size is reached.
+    """
+
+    def __init__(self, prefix: str, max_file_size: int = 1 << 30) -> None:
+        self._system, self._prefix = file_system(prefix)
+        self._max, self._out, self._size = max_file_size, None, 0
+        held = queue_paths(prefix)
+        self._file = int(held[-1][-10:]) if held else -1
+        self.last = self._read_time()
+        if held:
+            end = QUEUE_METADATA_SIZE
+            with self._system.open_input_file(held[-1]) as f:
+                for at, ts, message in read_queue(f, ignore_broken=True):
+                    self.last, end = max(self.last, ts), at + QUEUE_HEADER + len(message) + 1
+                if f.size() == end and end < max_file_size:
+                    self._out, self._size = self._system.open_append_stream(held[-1]), end
+
+    def _time_file(self) -> str:
+        return f"{self._prefix}.time"
+
+    def _read_time(self) -> int:
+        if self._system.get_file_info(self._time_file()).type != fs.FileType.File:
+            return 0
+        with self._system.open_input_stream(self._time_file()) as f:
+            return int(f.read() or 0)
+
+    def write(self, timestamp_ms: int, message: bytes) -> int:
+        """Returns the time the message got."""
+        if self._out is None or self._size >= self._max:
+            if self._out is not None:
+                self._out.close()
+            self._file += 1
+            self._out, self._size = self._system.open_output_stream(f"{self._prefix}.{self._file:010d}"), QUEUE_METADATA_SIZE
+            self._out.write(b"\0" * QUEUE_METADATA_SIZE)
+        self.last = max(self.last, timestamp_ms)
+        record = queue_record(self.last, message)
+        self._out.write(record)
+        self._size += len(record)
+        return self.last
+
+    def update_timestamp(self, timestamp_ms: int) -> None:
+        """Advance the queue's time without a message, for readers and writers to come."""
+        self.last = max(self.last, timestamp_ms)
+        with self._system.open_output_stream(self._time_file()) as f:
+            f.write(str(self.last).encode())
+
+    def flush(self) -> None:
+        if self._out is not None:
+            self._out.flush()
+
+    def close(self) -> None:
+        if self._out is not None:
+            self._out.close()
+        self._out = None
+
+    def __enter__(self) -> QueueWriter:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def write_queue(prefix: str, messages: list[tuple[int, bytes]], max_file_size: int = 1 << 30) -> list[str]:
+    """Append messages to a queue; returns its files."""
+    with QueueWriter(prefix, max_file_size) as w:
         for ts, message in messages:
-            if out is None or out.tell() >= max_file_size:
-                if out is not None:
-                    out.close()
-                    file_id += 1
-                written.append(f"{prefix}.{file_id:010d}")
-                out = open(written[-1], "wb")  # noqa: SIM115
-                out.write(b"\0" * QUEUE_METADATA_SIZE)
-            last = max(last, ts)
-            out.write(queue_record(last, message))
-    finally:
-        if out is not None:
-            out.close()
-    return written
+            w.write(ts, message)
+    return queue_paths(prefix)
 
 
 class QueueFileSource(DataSource):
@@ -218,11 +287,11 @@ class _QueueReader(DataSourceReader):
         self._ignore = options.get("ignore_broken", "") == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(f) for f in _files(self._path) if re.search(r"\.\d{10}$", f)]
+        return [_File(f) for f in list_files(self._path) if re.search(r"\.\d{10}$", f)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        prefix, _, number = os.path.basename(partition.value).rpartition(".")
-        with open(partition.value, "rb", 1 << 20) as f:
+        prefix, _, number = partition.value.rpartition("/")[2].rpartition(".")
+        with file_system(self._path)[0].open_input_file(partition.value) as f:
             for at, ts, message in read_queue(f, self._min, 0, self._ignore):
                 yield prefix, int(number), at, ts, message
 
@@ -264,14 +333,18 @@ def parse_tsv(lines: DataFrame, unescape: bool = False) -> DataFrame:
     return lines.filter(at > 0).select((strings.unescape_c(k) if unescape else k).alias(KEY), (strings.unescape_c(v) if unescape else v).alias(VALUE))
 
 
+def _at() -> Column:
+    """Where a line stands: its file, the split of the file, and its place in the split."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"))
+
+
 def import_tsv(spark: SparkSession, path: str, unescape: bool = False) -> DataFrame:
     """One record per key, that of the last line (by file, then place in the file)."""
-    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")).alias("at"))
-    rows = lines.filter(F.instr("value", "\t") > 0)
+    lines = spark.read.text(path).select("value", _at().alias("at")).filter(F.instr("value", "\t") > 0)
     line, tab = F.col("value"), F.instr("value", "\t")
     k, v = F.substring(line, F.lit(1), tab - 1), F.substring(line, tab + 1, F.length(line))
     k, v = (strings.unescape_c(k), strings.unescape_c(v)) if unescape else (k, v)
-    return rows.select(k.alias(KEY), v.alias("v"), "at").groupBy(KEY).agg(F.max_by("v", "at").alias(VALUE))
+    return lines.select(k.alias(KEY), v.alias("v"), "at").groupBy(KEY).agg(F.max_by("v", "at").alias(VALUE))
 
 
 def export_key_lines(df: DataFrame, path: str) -> None:
@@ -279,5 +352,12 @@ def export_key_lines(df: DataFrame, path: str) -> None:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line, line_no``: the number grows along each file and from file to file, with gaps."""
-    return spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("line_no"))
+    """``line, line_no``: lines are numbered from 0 through all files, in the order of the files' names.
+
+    Splits count their lines and a prefix sum over the splits gives each its first number, so no line is
+    moved; ``line_no`` is exact whatever tasks read the splits."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), _at().alias("at")).select("line", "at.*")
+    splits = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("lo"))
+    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    starts = splits.select("file", "split", "lo", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return lines.join(starts, ["file", "split"]).select("line", (F.col("start") + F.col("i") - F.col("lo")).alias("line_no"))

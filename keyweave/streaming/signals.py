@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import threading
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 
@@ -52,3 +54,39 @@ class Signal(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         if str(event.runId) in self._ids:
             self._send()
+
+
+class KeySignal:
+    """Waiting for changes of single keys: ``log`` of a table wakes the waiters of the keys it changes."""
+
+    def __init__(self) -> None:
+        self._changed, self._counts, self._waiting = threading.Condition(), Counter(), Counter()
+
+    def send(self, key) -> bool:
+        """Wake the waiters of a key; whether there were any."""
+        with self._changed:
+            if not self._waiting[key]:
+                return False
+            self._counts[key] += 1
+            self._changed.notify_all()
+            return True
+
+    def wait(self, key, timeout: float) -> bool:
+        """Until the key is sent; False after the timeout."""
+        with self._changed:
+            self._waiting[key] += 1
+            seen = self._counts[key]
+            try:
+                return self._changed.wait_for(lambda: self._counts[key] > seen, timeout)
+            finally:
+                self._waiting[key] -= 1
+                if not self._waiting[key]:
+                    del self._waiting[key], self._counts[key]
+
+    def __call__(self, changes: DataFrame) -> None:
+        """As the logger of a table: only keys waited for are looked up among the changes."""
+        with self._changed:
+            asked = [k for k, n in self._waiting.items() if n]
+        if asked:
+            for row in changes.filter(F.col("key").isin(asked)).select("key").distinct().collect():
+                self.send(row["key"])

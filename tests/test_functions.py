@@ -141,7 +141,10 @@ def test_codecs(spark):
     for z in (False, True):
         assert one(spark, lambda c: C.varint_to_int(C.int_to_varint(c, z), z), LONGS, "long") == LONGS
     doubles = [0.0, -1.5, math.inf, None]
-    assert one(spark, lambda c: C.big_endian_to_float(C.float_to_big_endian(c)), doubles, "double") == doubles
+    for size in (8, 16):
+        assert one(spark, lambda c: C.big_endian_to_float(C.float_to_big_endian(c, size)), doubles, "double") == doubles
+    wide = one(spark, lambda c: F.hex(C.float_to_big_endian(c, 16)), [1.0, -2.5, 5e-324, 0.0, math.inf], "double")
+    assert wide == ["0" * 12 + x for x in ("3FFF8000000000000000", "C000A000000000000000", "3BCD8000000000000000", "0" * 20, "7FFF8000000000000000")]
     lists = [["a", "", WORLD], [], None]
     got = one(spark, lambda c: F.transform(C.deserialize_list(C.serialize_list(c)), lambda b: b.cast("string")), lists, "array<string>")
     assert got == lists
@@ -155,7 +158,7 @@ def test_codecs(spark):
     assert (bytes(pair[0].first), bytes(pair[0].second)) == (b"k", b"z")
 
 
-@pytest.mark.parametrize("codec", ["none", "zlib", "zstd", "lzma"])
+@pytest.mark.parametrize("codec", ["none", "zlib", "zstd", "lz4", "lzma"])
 def test_compression(spark, codec):
     values = [b"", b"abc" * 1000, None]
     got = one(spark, lambda c: C.decompress(C.compress(c, codec), codec), values, "binary")
