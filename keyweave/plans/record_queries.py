@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keyweave.functions import codecs, hashes, strings, times
 from keyweave.model import sort_keys
 from keyweave.operators import cache, changelog, index, point, reduce, scan, search, shard
+from keyweave.plans import byte_sql
 from keyweave.session import spread, table
 from keyweave.sources import records
 
@@ -36,31 +37,22 @@ def _parts(spark, d):
     return table(spark, d, "part").select(F.col("p_name").alias("key")).distinct()
 
 
-_NO_ASCII_WORD = "[^A-Za-z0-9]+"
-
-
 def _texts(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
-def _keys(spark, d, name="lineitem", col="l_orderkey", where="l_quantity >= 49"):
-    return table(spark, d, name).filter(where).select(F.col(col).alias("key"))
+def _keys(spark, d, name="lineitem", col="l_orderkey"):
+    return table(spark, d, name).select(F.col(col).alias("key"))
 
 
 # Records
 
 
-@query("SELECT DISTINCT o_orderkey AS key, o_orderstatus AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 49")
+@query("SELECT DISTINCT o_orderkey AS key, o_orderstatus AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def get_multi(spark, d):
     return point.get_multi(_orders(spark, d), _keys(spark, d))
 
 
-@query("SELECT DISTINCT o_orderkey AS key, o_orderstatus AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
-def get_multi_all(spark, d):
-    """Every order key of lineitem; ``get_multi`` asks for those of large quantities."""
-    return point.get_multi(_orders(spark, d), _keys(spark, d, where="true"))
-
-
 @query("""SELECT k AS key, o_orderstatus AS value, o_orderkey IS NOT NULL AS found,
   CASE WHEN o_orderkey IS NULL THEN 'NOT_FOUND_ERROR' ELSE 'SUCCESS' END AS status
   FROM (SELECT DISTINCT event_id * 7 AS k FROM events) LEFT JOIN orders ON o_orderkey = k""")
@@ -99,17 +91,12 @@ def set_status(spark, d):
     return point.set_status(_customers(spark, d), _event_sets(spark, d), overwrite=False)
 
 
-@query("SELECT o_orderkey AS key, o_orderstatus AS value FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")
-def remove_multi(spark, d):
-    return point.remove_multi(_orders(spark, d), _keys(spark, d))
-
-
 @query("""SELECT o_orderkey AS key, o_orderstatus AS value FROM orders
   WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem UNION ALL SELECT event_id * 7 FROM events)""")
-def remove_multi_all(spark, d):
+def remove_multi(spark, d):
     """Every order key of lineitem, and keys from events of which most are missing."""
     more = table(spark, d, "events").select((F.col("event_id") * 7).alias("key"))
-    return point.remove_multi(_orders(spark, d), _keys(spark, d, where="true").unionByName(more))
+    return point.remove_multi(_orders(spark, d), _keys(spark, d).unionByName(more))
 
 
 @query("""SELECT k AS key, o_orderstatus AS old_value, CASE WHEN o_orderkey IS NULL THEN 'NOT_FOUND_ERROR' ELSE 'SUCCESS' END AS status
@@ -209,26 +196,6 @@ def process_user(spark, d):
     return point.process(_customers(spark, d), lambda pdf: pdf.assign(value=pdf.value.str[:3].str.upper()))
 
 
-_REKEY = """WITH ops AS (SELECT n_nationkey AS a, n_nationkey + 20 AS b FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 1000, 1001) """
-
-
-def _rekeys(spark, d):
-    some = table(spark, d, "nation").filter("n_nationkey % 4 = 0").select(F.col("n_nationkey").alias("old_key"), (F.col("n_nationkey") + 20).alias("new_key"))
-    return some.unionByName(spark.createDataFrame([(1000, 1001)], "old_key int, new_key int"))
-
-
-@query(_REKEY + """, ok AS (SELECT a, b FROM ops WHERE a IN (SELECT n_nationkey FROM nation) AND b NOT IN (SELECT n_nationkey FROM nation))
-  SELECT n_nationkey AS key, n_name AS value FROM nation WHERE n_nationkey NOT IN (SELECT a FROM ok) UNION ALL SELECT b, n_name FROM ok JOIN nation ON a = n_nationkey""")
-def rekey(spark, d):
-    return point.rekey(point.kv(table(spark, d, "nation"), "n_nationkey", "n_name"), _rekeys(spark, d), overwrite=False)
-
-
-@query(_REKEY + """SELECT a AS old_key, b AS new_key, CASE WHEN a NOT IN (SELECT n_nationkey FROM nation) THEN 'NOT_FOUND_ERROR'
-  WHEN b IN (SELECT n_nationkey FROM nation) THEN 'DUPLICATION_ERROR' ELSE 'SUCCESS' END AS status FROM ops""")
-def rekey_status(spark, d):
-    return point.rekey_status(point.kv(table(spark, d, "nation"), "n_nationkey", "n_name"), _rekeys(spark, d), overwrite=False)
-
-
 _REKEY_LOG = """WITH base AS (SELECT log_id AS k, op_type AS v FROM update_log),
   ops AS (SELECT msg_id * 17 AS a, CASE WHEN msg_id % 4 = 0 THEN msg_id * 17 + 1 ELSE -msg_id END AS b FROM log_messages),
   st AS (SELECT a, b, CASE WHEN a NOT IN (SELECT k FROM base) THEN 'NOT_FOUND_ERROR' WHEN b IN (SELECT k FROM base) THEN 'DUPLICATION_ERROR' ELSE 'SUCCESS' END AS s FROM ops) """
@@ -243,12 +210,12 @@ def _log_rekeys(spark, d):
 
 @query(_REKEY_LOG + """SELECT k AS key, v AS value FROM base WHERE k NOT IN (SELECT a FROM st WHERE s = 'SUCCESS')
   UNION ALL SELECT b, v FROM st JOIN base ON a = k WHERE s = 'SUCCESS'""")
-def rekey_log(spark, d):
+def rekey(spark, d):
     return point.rekey(*_log_rekeys(spark, d), overwrite=False)
 
 
 @query(_REKEY_LOG + "SELECT a AS old_key, b AS new_key, s AS status FROM st")
-def rekey_log_status(spark, d):
+def rekey_status(spark, d):
     return point.rekey_status(*_log_rekeys(spark, d), overwrite=False)
 
 
@@ -442,10 +409,14 @@ def reduce_remove(spark, d):
     return reduce.reduce_rows(_runs(spark, d), "remove")
 
 
-@query("SELECT p_brand AS key, CAST(count(*) AS VARCHAR) AS value FROM part GROUP BY 1")
+@query(r"""WITH v AS (SELECT rec_key, regexp_extract(rec_value, '^[\x00- ]*([-+]?)[\x00- ]*[0-9]', 1) AS s,
+    ltrim(regexp_extract(rec_value, '^[\x00- ]*[-+]?[\x00- ]*([0-9]+)', 1), '0') AS digits FROM update_log WHERE rec_key IS NOT NULL),
+  n AS (SELECT rec_key, s, CASE WHEN length(digits) > 19 THEN 10000000000000000000::HUGEINT ELSE coalesce(TRY_CAST(digits AS HUGEINT), 0) END AS n FROM v)
+  SELECT rec_key AS key, CAST(sum(CASE WHEN s = '-' THEN greatest(-n, -9223372036854775808::HUGEINT) ELSE least(n, 9223372036854775807::HUGEINT) END) AS VARCHAR) AS value
+  FROM n GROUP BY 1""")
 def reduce_total(spark, d):
-    emitted = table(spark, d, "part").select(F.col("p_brand").alias("key"), F.lit("1").alias("value"))
-    return reduce.synchronize(emitted, None, "total")
+    """Totals of whatever integers the values begin with."""
+    return reduce.synchronize(point.kv(table(spark, d, "update_log"), "rec_key", "rec_value"), None, "total")
 
 
 @query("""SELECT CAST(l_orderkey AS BIGINT) AS key, printf('%016X', CAST(sum(l_linenumber) AS BIGINT)) AS value FROM lineitem GROUP BY 1""")
@@ -454,25 +425,18 @@ def reduce_total_big_endian(spark, d):
     return reduce.synchronize(rows, None, "totalbe").select("key", F.hex("value").alias("value"))
 
 
-@query("""SELECT k AS key, arg_max(v, r) AS value FROM (
-  SELECT o_orderkey AS k, 'm' || o_orderstatus AS v, 0 AS r FROM orders WHERE o_orderkey % 2 = 0
-  UNION ALL SELECT o_orderkey, 'b' || o_orderstatus, 1 FROM orders WHERE o_orderkey % 3 = 0
-  UNION ALL SELECT o_orderkey, 'n' || o_orderstatus, 2 FROM orders WHERE o_orderkey % 5 = 0) GROUP BY k""")
+@query("""SELECT k AS key, arg_max(v, r) AS value FROM (SELECT event_id AS k, 'm' || event_type AS v, 0 AS r FROM events
+  UNION ALL SELECT o_orderkey, 'b' || o_orderstatus, 1 FROM orders UNION ALL SELECT c_custkey, 'n' || c_mktsegment, 2 FROM customer) GROUP BY k""")
 def merge_last(spark, d):
-    def part(n, mark):
-        return _orders(spark, d).filter(F.col("key") % n == 0).withColumn("value", F.concat(F.lit(mark), "value"))
+    def run(name, key, value, mark):
+        return table(spark, d, name).select(F.col(key).cast("long").alias("key"), F.concat(F.lit(mark), value).alias("value"))
 
-    return reduce.synchronize(part(3, "b"), part(5, "n"), "last", [part(2, "m")])
-
-
-@query("""SELECT w AS key, count(*) AS value FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^A-Za-z0-9]+')) AS w FROM documents) WHERE w <> '' GROUP BY w""")
-def wordcount(spark, d):
-    """Words of ASCII letters and digits, as its SQL; ``wordcount_unicode`` counts whole words."""
-    return reduce.word_count(spread(table(spark, d, "documents").select("text")), "text", _NO_ASCII_WORD)
+    base, new = run("orders", "o_orderkey", "o_orderstatus", "b"), run("customer", "c_custkey", "c_mktsegment", "n")
+    return reduce.synchronize(base, new, "last", [run("events", "event_id", "event_type", "m")])
 
 
 @query(r"""SELECT w AS key, count(*) AS value FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+')) AS w FROM documents) WHERE w <> '' GROUP BY w""")
-def wordcount_unicode(spark, d):
+def wordcount(spark, d):
     return reduce.word_count(spread(table(spark, d, "documents").select("text")), "text")
 
 
@@ -532,28 +496,22 @@ def index_refresh(spark, d):
     return index.refresh(index.build(before, "c_nationkey", "c_custkey"), before, after, "c_nationkey", "c_custkey")
 
 
-_INVERTED = "WITH i AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^A-Za-z0-9]+')) AS ikey, doc_id AS pkey FROM documents) "
-
-
-@query(_INVERTED + "SELECT ikey, pkey FROM i WHERE ikey <> ''")
-def inverted_index(spark, d):
-    """Words of ASCII letters and digits, as its SQL; ``inverted_index_unicode`` indexes whole words."""
-    return index.build_inverted(_texts(spark, d), "text", "doc_id", _NO_ASCII_WORD)
+_INVERTED = r"WITH i AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+')) AS ikey, doc_id AS pkey FROM documents) "
 
 
 @query(r"""SELECT * FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+')) AS ikey, doc_id AS pkey FROM documents) WHERE ikey <> ''""")
-def inverted_index_unicode(spark, d):
+def inverted_index(spark, d):
     return index.build_inverted(_texts(spark, d), "text", "doc_id")
 
 
 @query(_INVERTED + "SELECT pkey FROM i WHERE ikey IN ('road', 'ferry', 'bread') GROUP BY pkey HAVING count(*) = 3")
 def postings_and(spark, d):
-    return index.search_all(index.build_inverted(_texts(spark, d), "text", "doc_id", _NO_ASCII_WORD), ["Road", "ferry", "bread"])
+    return index.search_all(index.build_inverted(_texts(spark, d), "text", "doc_id"), ["Road", "ferry", "bread"])
 
 
 @query(_INVERTED + "SELECT DISTINCT pkey FROM i WHERE ikey IN ('writ', 'lease')")
 def postings_or(spark, d):
-    return index.search_any(index.build_inverted(_texts(spark, d), "text", "doc_id", _NO_ASCII_WORD), ["writ", "lease"])
+    return index.search_any(index.build_inverted(_texts(spark, d), "text", "doc_id"), ["writ", "lease"])
 
 
 # Logs and queues
@@ -600,17 +558,16 @@ def changelog_status(spark, d):
     return changelog.apply_status(_log(spark, d), server_id=1)
 
 
-@query("""SELECT CASE WHEN b.k IS NULL THEN 'SET' WHEN a.k IS NULL THEN 'REMOVE' ELSE 'SET' END AS op, coalesce(a.k, b.k) AS key, a.v AS value
-  FROM (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0) b
-  FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 4 <> 0) a ON a.k = b.k
+@query("""SELECT CASE WHEN a.k IS NULL THEN 'REMOVE' ELSE 'SET' END AS op, coalesce(a.k, b.k) AS key, a.v AS value
+  FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer) b
+  FULL JOIN (SELECT user_id AS k, arg_max(event_type, event_id) AS v FROM events WHERE user_id IS NOT NULL GROUP BY 1) a ON a.k = b.k
   WHERE a.k IS NULL OR b.k IS NULL OR a.v IS DISTINCT FROM b.v""")
 def changelog_capture(spark, d):
-    o = _orders(spark, d)
-    after = o.filter("key % 4 <> 0").withColumn("value", F.when(F.col("key") % 5 == 0, "Z").otherwise(F.col("value")))
-    return changelog.capture(o.filter("key % 3 <> 0"), after)
+    none = spark.createDataFrame([], "key long, value string")
+    return changelog.capture(_customers(spark, d), point.set_multi(none, _event_sets(spark, d)))
 
 
-@query()
+@query(byte_sql.ENTRIES)
 def changelog_parse(spark, d):
     """Entries of the queues' messages, decoded."""
     m = table(spark, d, "log_messages").select("msg_id", changelog.parse_entries(F.col("message")).alias("e"))
@@ -619,7 +576,9 @@ def changelog_parse(spark, d):
 
 @query("SELECT msg_id, file_id, file_offset, timestamp_ms FROM log_messages WHERE timestamp_ms >= 1741000000000")
 def queue_since(spark, d):
-    return table(spark, d, "log_messages").filter("timestamp_ms >= 1741000000000").select("msg_id", "file_id", "file_offset", "timestamp_ms")
+    from keyweave.streaming.queues import since
+
+    return since(table(spark, d, "log_messages"), 1741000000000).select("msg_id", "file_id", "file_offset", "timestamp_ms")
 
 
 @query("""WITH f AS (SELECT queue_prefix, file_id, max(timestamp_ms) AS t FROM log_messages GROUP BY ALL),
@@ -648,13 +607,13 @@ def lru_retain(spark, d):
     return cache.lru_retain(table(spark, d, "events"), "user_id", "event_id", 100, F.pmod("user_id", F.lit(32)).cast("int"))
 
 
-@query()
+@query(byte_sql.SHARDS)
 def shard_counts(spark, d):
     rows = shard.with_shard(table(spark, d, "customer").select(F.col("c_name").alias("key")), 8)
     return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(byte_sql.BUCKETS)
 def bucket_counts(spark, d):
     rows = shard.with_bucket(table(spark, d, "customer").select(F.col("c_name").alias("key")), 101)
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -722,32 +681,24 @@ def string_functions(spark, d):
     )
 
 
-@query(r"""SELECT log_id, coalesce(TRY_CAST(regexp_extract(rec_value, '^[\x00- ]*([-+]?[0-9]+)', 1) AS BIGINT), 0) AS as_int
-  FROM update_log WHERE rec_value IS NOT NULL AND NOT regexp_matches(rec_value, '^[\x00- ]*[-+]?[0-9]{19,}') AND NOT regexp_matches(rec_value, '^[\x00- ]*[-+][\x00- ]')""")
-def to_int_values(spark, d):
-    v = F.col("rec_value")
-    odd = v.rlike(r"^[\x00-\x20]*[-+]?[0-9]{19,}") | v.rlike(r"^[\x00-\x20]*[-+][\x00-\x20]")
-    return table(spark, d, "update_log").filter(v.isNotNull() & ~odd).select("log_id", strings.to_int(v).alias("as_int"))
-
-
 @query(r"""WITH v AS (SELECT log_id, rec_value, regexp_extract(rec_value, '^[\x00- ]*([-+]?)[\x00- ]*[0-9]', 1) AS s,
     ltrim(regexp_extract(rec_value, '^[\x00- ]*[-+]?[\x00- ]*([0-9]+)', 1), '0') AS digits FROM update_log),
   n AS (SELECT *, CASE WHEN length(digits) > 19 THEN 10000000000000000000::HUGEINT ELSE coalesce(TRY_CAST(digits AS HUGEINT), 0) END AS n FROM v)
   SELECT log_id, CAST(CASE WHEN rec_value IS NULL THEN NULL WHEN s = '-' THEN greatest(-n, -9223372036854775808::HUGEINT)
     ELSE least(n, 9223372036854775807::HUGEINT) END AS BIGINT) AS as_int FROM n""")
-def to_int_values_all(spark, d):
+def to_int_values(spark, d):
     """Every row: numbers beyond 64 bits saturate, null values give null."""
     return table(spark, d, "update_log").select("log_id", strings.to_int(F.col("rec_value")).alias("as_int"))
 
 
-@query("""SELECT log_id, base64(encode(rec_value)) AS b64, url_encode(rec_key) AS url FROM update_log WHERE rec_value IS NOT NULL AND rec_key IS NOT NULL""")
+@query(r"""WITH k AS (SELECT log_id, rec_value, string_split(url_encode(rec_key), '%') AS p FROM update_log)
+  SELECT log_id, base64(encode(rec_value)) AS b64,
+    list_aggregate(list_transform(p, lambda x, i: CASE WHEN i = 1 THEN x ELSE '%' || lower(left(x, 2)) || substr(x, 3) END), 'string_agg', '') AS url FROM k""")
 def encoded_values(spark, d):
-    """Upper-case hex for the comparison; the function itself writes lower case."""
-    url = strings.encode_url(F.col("rec_key"))
-    for h in "abcdef":
-        url = F.regexp_replace(url, f"%([0-9A-F]?){h}", f"%$1{h.upper()}")
-    both = table(spark, d, "update_log").filter("rec_value IS NOT NULL AND rec_key IS NOT NULL")
-    return both.select("log_id", strings.encode_base64(F.col("rec_value").cast("binary")).alias("b64"), url.alias("url"))
+    """Null where the key or value is null."""
+    return table(spark, d, "update_log").select(
+        "log_id", strings.encode_base64(F.col("rec_value").cast("binary")).alias("b64"), strings.encode_url(F.col("rec_key")).alias("url")
+    )
 
 
 @query("""SELECT o_orderkey, printf('%016X', o_orderkey) AS be, o_orderkey AS back FROM orders""")
@@ -767,32 +718,20 @@ def time_formats(spark, d):
     )
 
 
-@query(r"""SELECT log_id, coalesce(CAST(CASE lower(regexp_extract(rec_value, '^[0-9]+([kKmMgG])', 1)) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 WHEN 'g' THEN 1000000000 ELSE 1 END AS BIGINT)
-  * TRY_CAST(regexp_extract(rec_value, '^([0-9]+)', 1) AS BIGINT), 0) AS metric FROM update_log WHERE regexp_matches(rec_value, '^[0-9]{1,9}([kKmMgG]?[^0-9.eEiItTpPkKmMgG \n\t]|$)')""")
+@query(r"""WITH v AS (SELECT log_id, rec_value, regexp_extract(rec_value, '^[\x00- ]*([-+]?)[\x00- ]*[0-9.]', 1) AS s,
+    regexp_extract(rec_value, '^[\x00- ]*[-+]?[\x00- ]*([0-9]*)', 1) AS whole,
+    regexp_extract(rec_value, '^[\x00- ]*[-+]?[\x00- ]*[0-9]*\.([0-9]+)', 1) AS part,
+    lower(regexp_extract(rec_value, '^[\x00- ]*[-+]?[\x00- ]*(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)[\x00- ]*([kKmMgGtTpPeE]i?)', 1)) AS unit FROM update_log),
+  n AS (SELECT *, CAST(coalesce(nullif(ltrim(whole, '0'), ''), '0') AS HUGEINT) AS w,
+    CAST(rpad(left(part, 9), 9, '0') AS HUGEINT) AS f,
+    CAST(pow(CASE WHEN suffix(unit, 'i') THEN 1024 ELSE 1000 END, strpos('kmgtpe', left(unit, 1)) * (unit <> '')::INT) AS HUGEINT) AS m FROM v)
+  SELECT log_id, CAST(CASE WHEN rec_value IS NULL THEN NULL ELSE greatest(least(
+    CASE WHEN s = '-' THEN -1 ELSE 1 END * (w * m + f * m // 1000000000), 9223372036854775807::HUGEINT), -9223372036854775808::HUGEINT) END AS BIGINT) AS metric FROM n""")
 def to_metric_values(spark, d):
-    """The values that its SQL can parse; ``to_metric_all`` runs over all."""
-    v = F.col("rec_value")
-    plain = v.rlike(r"^[0-9]{1,9}([kKmMgG]?[^0-9.eEiItTpPkKmMgG \n\t]|$)")
-    return table(spark, d, "update_log").filter(plain).select("log_id", strings.to_int_metric(v).alias("metric"))
-
-
-@query()
-def to_metric_all(spark, d):
     """Every row, whatever its spelling; null values give null."""
     return table(spark, d, "update_log").select("log_id", strings.to_int_metric(F.col("rec_value")).alias("metric"))
 
 
-@query(r"""SELECT log_id, CAST(CASE WHEN regexp_matches(rec_key, '(^|[^0-9A-Za-z])lease([^0-9A-Za-z]|$)') THEN
-    length(regexp_extract(rec_key, '^(.*?(?:^|[^0-9A-Za-z]))lease([^0-9A-Za-z]|$)', 1)) ELSE -1 END AS INTEGER) AS word_at,
-  length(rec_key) - length(replace(rec_key, '0', '')) AS zeros, CAST(levenshtein(rec_key, 'sess/harbour-46') AS INTEGER) AS distance
-  FROM update_log WHERE rec_key IS NOT NULL AND strlen(rec_key) = length(rec_key)""")
-def search_functions(spark, d):
-    """The ASCII keys, on which its SQL counts as the operators do; ``search_functions_bytes`` runs over all."""
-    k = F.col("rec_key")
-    ascii_only = k.isNotNull() & (F.octet_length(k) == F.length(k))
-    return _searched(table(spark, d, "update_log").filter(ascii_only))
-
-
 def _searched(rows):
     k = F.col("rec_key")
     return rows.select(
@@ -805,11 +744,11 @@ def _searched(rows):
     strlen(regexp_extract(rec_key, '(?s)^(.*?(?:^|[^0-9A-Za-z]))lease([^0-9A-Za-z]|$)', 1)) ELSE -1 END AS INTEGER) AS word_at,
   strlen(rec_key) - strlen(replace(rec_key, '0', '')) AS zeros, CAST(levenshtein(rec_key, 'sess/harbour-46') AS INTEGER) AS distance
   FROM update_log WHERE rec_key IS NOT NULL""")
-def search_functions_bytes(spark, d):
+def search_functions(spark, d):
     return _searched(table(spark, d, "update_log").filter("rec_key IS NOT NULL"))
 
 
-@query()
+@query(byte_sql.CODECS)
 def codec_round_trips(spark, d):
     """Bytes of the codecs and what they read back, over the whole feed."""
     k, n = F.col("rec_key"), F.col("seq")
@@ -820,7 +759,7 @@ def codec_round_trips(spark, d):
     )
 
 
-@query()
+@query(byte_sql.HASHES)
 def hash_functions(spark, d):
     k = F.col("rec_key")
     return spread(table(spark, d, "update_log").filter(k.isNotNull()).select("log_id", "rec_key")).select(
