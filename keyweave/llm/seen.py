@@ -97,7 +97,9 @@ class SeenKeys:
 
     def add_history(self, keys: DataFrame, key: str) -> None:
         """Take in keys from before; nulls are left out, and keys held already change nothing."""
-        new = keys.select(F.col(key).alias("k")).filter("k IS NOT NULL").distinct().join(self.keys(), "k", "left_anti")
+        new = keys.select(F.col(key).alias("k")).filter("k IS NOT NULL").distinct()
+        if self.store.version():
+            new = new.join(self.keys(), "k", "left_anti")
         self.store.commit(added=self._added(materialize(new, "history")), properties={"words": str(self.words)})
 
     def answer(self, rows: DataFrame, key: str, order: str, remember: bool = True) -> Seen:
