@@ -269,19 +269,21 @@ def _codec(name: str):
     if name == "lzma":
         import lzma
 
-        return lzma.compress, lzma.decompress
+        # A dictionary no larger than the value: small values would else cost megabytes each.
+        fit = lambda v: [{"id": lzma.FILTER_LZMA2, "preset": 6, "dict_size": max(4096, min(len(v), 1 << 23))}]
+        return (lambda v: lzma.compress(v, filters=fit(v))), lzma.decompress
     if name == "zstd":
         import zstandard
 
         return (lambda v: zstandard.ZstdCompressor().compress(v)), (lambda v: zstandard.ZstdDecompressor().decompress(v, max_output_size=1 << 31))
     if name == "lz4":
-        import pyarrow
+        from pyarrow import compress as pack
+        from pyarrow import decompress as unpack
 
-        raw = pyarrow.Codec("lz4_raw")
         # The block format does not tell the size, so it stands in front.
         return (
-            lambda v: struct.pack(">I", len(v)) + (raw.compress(v, asbytes=True) if v else b""),
-            lambda v: raw.decompress(v[4:], struct.unpack(">I", v[:4])[0], asbytes=True) if len(v) > 4 else v[4:],
+            lambda v: struct.pack(">I", len(v)) + (pack(v, "lz4_raw", asbytes=True) if v else b""),
+            lambda v: unpack(v[4:], struct.unpack(">I", v[:4])[0], "lz4_raw", asbytes=True) if len(v) > 4 else v[4:],
         )
     raise ValueError(f"no such codec: {name}")
 

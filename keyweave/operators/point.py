@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from keyweave.functions import codecs
 from keyweave.model import Status, sort_keys, status
+from keyweave.session import materialize
 
 KEY, VALUE = "key", "value"
 
@@ -65,11 +66,30 @@ def count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("count"))
 
 
+#: Records up to which :func:`get_by_index` takes a bounded top-k instead of counting ranges.
+TOP_ROWS = 10_000
+
+
 def get_by_index(df: DataFrame, index: int, order: str = "lexical") -> DataFrame:
-    """The ``index``-th record (from 0) in key order; none beyond the end or below 0."""
+    """The ``index``-th record (from 0) in key order; none beyond the end or below 0.
+
+    Far records are found by counting: keys are range-partitioned, the ranges' counts are summed up, and
+    only the range that holds the record is sorted."""
+    rows = df.select(KEY, VALUE)
+    by = [*sort_keys(order, F.col(KEY)), F.col(KEY)]
     if index < 0:
-        return df.select(KEY, VALUE).limit(0)
-    return df.select(KEY, VALUE).orderBy(*sort_keys(order, F.col(KEY)), KEY).offset(index).limit(1)
+        return rows.limit(0)
+    if index < TOP_ROWS:
+        return rows.orderBy(*by).offset(index).limit(1)
+    placed = materialize(rows.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = 0
+    for part, n in sorted((r[0], r[1]) for r in placed.groupBy("__part").count().collect()):  # a row per range
+        if index < before + n:
+            here = placed.filter(F.col("__part") == part)
+            place = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
+            return here.withColumn("__at", place).filter(F.col("__at") == index - before + 1).select(KEY, VALUE)
+        before += n
+    return rows.limit(0)
 
 
 # Writing

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave.functions.hashes import _folded, bucket_of, fnv, shard_of
 from keyweave.operators.point import KEY
 
 
+def hashed_bytes(df: DataFrame, key: str) -> Column:
+    """What of a key is hashed: the bytes of strings and binaries, else those of its decimal text."""
+    kind = df.schema[key].dataType.typeName()
+    return F.col(key) if kind in ("string", "binary") else F.col(key).cast("string")
+
+
 def with_shard(df: DataFrame, n: int, key: str = KEY) -> DataFrame:
-    return df.withColumn("shard", shard_of(F.col(key), n).cast("int"))
+    return df.withColumn("shard", shard_of(hashed_bytes(df, key), n).cast("int"))
 
 
 def with_bucket(df: DataFrame, n: int, key: str = KEY) -> DataFrame:
-    return df.withColumn("bucket", bucket_of(F.col(key), n))
+    return df.withColumn("bucket", bucket_of(hashed_bytes(df, key), n))
 
 
 def write_shards(df: DataFrame, path: str, n: int, key: str = KEY) -> None:
@@ -22,9 +28,9 @@ def write_shards(df: DataFrame, path: str, n: int, key: str = KEY) -> None:
     with_shard(df, n, key).hint("rebalance", "shard").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
-def shard_number(key: str | bytes, n: int) -> int:
+def shard_number(key, n: int) -> int:
     """Shard of one key, computed on the driver for partition pruning."""
-    return int(_folded(fnv([key.encode() if isinstance(key, str) else key]), n)[0])
+    return int(_folded(fnv([bytes(key) if isinstance(key, (bytes, bytearray)) else str(key).encode()]), n)[0])
 
 
 def read_key(spark: SparkSession, path: str, key_value, n: int, key: str = KEY) -> DataFrame:

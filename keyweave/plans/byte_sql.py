@@ -62,6 +62,8 @@ def crc(b: str, bits: int) -> str:
         return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {b}), lambda c, x: {step}), CAST(4294967295 AS UBIGINT))"
     if bits == 16:
         step = f"xor((c << 8) & 65535, {_table(16, 0x1021, False)}[CAST(xor(c >> 8, x) AS INTEGER) + 1])"
+    elif bits == 4:
+        step = f"{_table(4, 0xC, True)}[CAST(xor(c, x) AS INTEGER) + 1]"
     else:
         step = f"{_table(8, 0x07, False)}[CAST(xor(c, x) AS INTEGER) + 1]"
     return f"list_reduce(list_prepend(CAST(0 AS UBIGINT), {b}), lambda c, x: {step})"

@@ -249,6 +249,12 @@ def get_by_index(spark, d):
     return point.get_by_index(_customers(spark, d), 41)
 
 
+@query("SELECT log_id AS key, op_type AS value FROM update_log ORDER BY log_id LIMIT 1 OFFSET 12345")
+def get_by_far_index(spark, d):
+    """Beyond the bounded top-k; a table with fewer records has none."""
+    return point.get_by_index(point.kv(table(spark, d, "update_log"), "log_id", "op_type"), 12345)
+
+
 @query("""SELECT unnest(['num_records', 'key_bytes', 'value_bytes']) AS name, unnest([count(*), CAST(sum(strlen(n_name)) AS BIGINT), CAST(sum(strlen(CAST(n_regionkey AS VARCHAR))) AS BIGINT)]) AS value FROM nation""")
 def inspect(spark, d):
     return point.inspect(point.kv(table(spark, d, "nation"), "n_name", "n_regionkey"))

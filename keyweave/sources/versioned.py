@@ -16,7 +16,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,19 +80,20 @@ class VersionedTable:
         return frame.join(self._parts(entry["gone"], "file string"), "file", "left_anti") if entry["gone"] else frame
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """``file, n_rows, n_files`` of a version; ``n_files`` counts the files of the file's commit."""
+        """``file, n_rows, n_files`` of a version; ``n_files`` counts the files of the file's commit, empty
+        ones too."""
         entry = self._entry(self.version() if version is None else version)
         return self._kept(self._parts(entry["files"], _MANIFEST), entry)
 
     def _entry_schema(self) -> T.StructType:
         pick = lambda names: T.StructType([self.schema[n] for n in names])
         return T.StructType(
-            [T.StructField("file", T.StringType()), *[self.schema[n] for n in self._by], T.StructField("lo", pick(self._ordered)), T.StructField("hi", pick(self._ordered))]
+            [T.StructField("file", T.StringType()), *[self.schema[n] for n in self._by], T.StructField("n_rows", T.LongType()), T.StructField("lo", pick(self._ordered)), T.StructField("hi", pick(self._ordered))]
             + ([T.StructField("latest", pick(self._latest))] if self._latest else [])
         )
 
     def entries(self, version: int | None = None) -> DataFrame:
-        """``file, entry_by..., lo, hi, latest`` of a version (structs of the columns they are named after)."""
+        """``file, entry_by..., n_rows, lo, hi, latest`` of a version (structs of the columns they are named after)."""
         entry = self._entry(self.version() if version is None else version)
         return self._kept(self._parts(entry["entries"], self._entry_schema()), entry)
 
@@ -141,22 +142,23 @@ class VersionedTable:
 
     # Writing
 
-    def _write(self, added: DataFrame, folder: str) -> DataFrame:
-        """Write the data files of a commit; returns their manifest."""
+    def _write(self, added: DataFrame, folder: str) -> None:
+        """Write the data files of a commit."""
         cols = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema.fields]
         rows = added.select(*cols)
         if self._ordered:
             by = [F.col(f"`{c}`") for c in (*self._by, *self._ordered)]
             rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-        path = f"{self.path}/data/{folder}"
-        rows.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
-        made = self.spark.read.schema(self.schema).parquet(path).groupBy(self._place().alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
-        return made.withColumn("n_files", F.count(F.lit(1)).over(Window.partitionBy(F.split_part("file", F.lit("/"), F.lit(1)))))
+        rows.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.path}/data/{folder}")
 
-    def _entries_of(self, folder: str) -> DataFrame:
+    def _described(self, folder: str) -> DataFrame:
+        """Entries of the files of a commit with their rows, from one scan of the columns they tell of;
+        one entry a file if nothing is ordered."""
         rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{folder}")
-        at = F.struct(*self._ordered)
-        aggs = [F.min(at).alias("lo"), F.max(at).alias("hi")]
+        aggs = [F.count(F.lit(1)).alias("n_rows")]
+        if self._ordered:
+            at = F.struct(*self._ordered)
+            aggs += [F.min(at).alias("lo"), F.max(at).alias("hi")]
         if self._latest:
             aggs.append(F.struct(*[F.max(c).alias(c) for c in self._latest]).alias("latest"))
         return rows.groupBy(self._place().alias("file"), *self._by).agg(*aggs)
@@ -191,9 +193,16 @@ class VersionedTable:
 
         if added is not None:
             folder = f"{version:012d}-{token}"
-            part("files", self._write(added, folder), "files")
-            if self._ordered:
-                part("entries", self._entries_of(folder), "entries")
+            self._write(added, folder)
+            fs, p = hadoop_path(self.spark, f"{self.path}/data/{folder}")
+            every = F.lit(sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(p))).cast("long").alias("n_files")
+            told = self._described(folder)
+            if self._by:
+                part("entries", told, "entries")
+                told = self._parts(entry["entries"][-1:], self._entry_schema()).groupBy("file").agg(F.sum("n_rows").alias("n_rows"))
+            part("files", told.select("*", every), "files")
+            if self._ordered and not self._by:
+                entry["entries"].append(entry["files"][-1])
         if replaced is not None and not overwrite:
             part("gone", replaced.select("file").distinct(), "gone")
         if deleted is not None:

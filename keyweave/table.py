@@ -162,7 +162,7 @@ class KVTable:
         uses = all_ if self._uses is None else self._uses.join(all_.select(KEY), KEY, "left_semi").unionByName(all_)
         self._uses = materialize(uses.groupBy(KEY).agg(F.max("seq").alias("seq")), "uses", kept=True)
         self._frames.append(self._uses)
-        held = cache.lru_retain(self._uses, KEY, "seq", self._capacity, hashes.cache_slot_of(F.col(KEY), cache.SLOTS).cast("int"))
+        held = cache.lru_retain(self._uses, KEY, "seq", self._capacity, hashes.cache_slot_of(shard.hashed_bytes(self._uses, KEY), cache.SLOTS).cast("int"))
         self._keep(self._frame.join(held.select(KEY), KEY, "left_semi"))
 
     def close(self) -> None:

@@ -19,6 +19,18 @@ def test_query(spark, name):
         assert entry.queries()[name](spark, sf).count() > 0
 
 
+def test_far_index(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from keyweave.operators import point
+
+    monkeypatch.setattr(point, "TOP_ROWS", 0)
+    df = spark.range(1000).select(F.format_string("k%04d", (F.col("id") * 7) % 1000).alias("key"), F.col("id").alias("value"))
+    for i in (0, 1, 499, 999):
+        assert [r.key for r in point.get_by_index(df, i).collect()] == [f"k{i:04d}"]
+    assert point.get_by_index(df, 1000).collect() == [] and point.get_by_index(df.limit(0), 0).collect() == []
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
