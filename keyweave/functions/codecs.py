@@ -280,11 +280,15 @@ def _codec(name: str):
         from pyarrow import compress as pack
         from pyarrow import decompress as unpack
 
-        # The block format does not tell the size, so it stands in front.
-        return (
-            lambda v: struct.pack(">I", len(v)) + (pack(v, "lz4_raw", asbytes=True) if v else b""),
-            lambda v: unpack(v[4:], struct.unpack(">I", v[:4])[0], "lz4_raw", asbytes=True) if len(v) > 4 else v[4:],
-        )
+        # The block format does not tell the size, so it stands in front. No block grows more than
+        # 255-fold, so that broken data cannot ask for memory at will.
+        def undo(v: bytes) -> bytes:
+            size = struct.unpack(">I", v[:4])[0]
+            if size > 255 * len(v):
+                raise ValueError("size")
+            return unpack(v[4:], size, "lz4_raw", asbytes=True) if len(v) > 4 else v[4:]
+
+        return (lambda v: struct.pack(">I", len(v)) + (pack(v, "lz4_raw", asbytes=True) if v else b"")), undo
     raise ValueError(f"no such codec: {name}")
 
 

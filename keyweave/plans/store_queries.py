@@ -64,7 +64,7 @@ _tables()
 
 @query(_FILLED)
 def table_sharded(spark, d):
-    return _fill(spark, d, ShardedTable(spark, _place(spark, "shards"), "key long, value string", 3)).df()
+    return _fill(spark, d, ShardedTable(spark, _place(spark, "shards"), "key long, value string", 2)).df()
 
 
 @query(_FILLED)

@@ -245,7 +245,7 @@ def test_metric_numbers_of_all_spellings(spark):
 
 def test_metric_query_runs_over_every_row(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/update_log.parquet").select("log_id", "rec_value").collect()
-    got = {r.log_id: r.metric for r in entry.queries()["to_metric_all"](spark, "/root/testdata/sf0.01").collect()}
+    got = {r.log_id: r.metric for r in entry.queries()["to_metric_values"](spark, "/root/testdata/sf0.01").collect()}
     assert got == {r.log_id: metric(r.rec_value) for r in rows}
     assert len(got) == len(rows) and any(r.rec_value and "." in r.rec_value for r in rows)
 
@@ -266,7 +266,7 @@ def test_search_query_counts_bytes_of_every_key(spark, tmp_path):
 
     keys = ["größe:22251", "größe lease:100", "éléase lease", "leaseé", "élease", "größe:leases", "sess/härbour-46", "sess/harbour-46", "世界 0 lease 00", "lease", "", None]
     spark.createDataFrame(list(enumerate(keys)), "log_id long, rec_key string").coalesce(1).write.parquet(f"{tmp_path}/update_log.parquet")
-    got = {r.log_id: (r.word_at, r.zeros, r.distance) for r in entry.queries()["search_functions_bytes"](spark, str(tmp_path)).collect()}
+    got = {r.log_id: (r.word_at, r.zeros, r.distance) for r in entry.queries()["search_functions"](spark, str(tmp_path)).collect()}
     b = {i: k.encode() for i, k in enumerate(keys) if k is not None}
     assert got == {i: (word_at(k), k.count(b"0"), distance(k, b"sess/harbour-46")) for i, k in b.items()}
 
@@ -276,6 +276,6 @@ def test_int_query_keeps_every_row(spark, tmp_path):
 
     want = {" - 10 ": -10, "+ 7x": 7, "9" * 19: 2**63 - 1, "-" + "9" * 40: -(2**63), str(2**63 - 1): 2**63 - 1, "-" + str(2**63): -(2**63), "0" * 30 + "5": 5, "-": 0, "x1": 0, "": 0, "42.5": 42, None: None}
     spark.createDataFrame(list(enumerate(want)), "log_id long, rec_value string").coalesce(1).write.parquet(f"{tmp_path}/update_log.parquet")
-    got = entry.queries()["to_int_values_all"](spark, str(tmp_path)).orderBy("log_id").collect()
+    got = entry.queries()["to_int_values"](spark, str(tmp_path)).orderBy("log_id").collect()
     assert [r.as_int for r in got] == list(want.values())
-    assert oracle.check(spark, "to_int_values_all", tmp_path) == len(want)
+    assert oracle.check(spark, "to_int_values", tmp_path) == len(want)

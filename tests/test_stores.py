@@ -129,7 +129,7 @@ def test_restore_honours_removals(spark, tmp_path):
 
 def test_sharded_table(spark, tmp_path):
     rnd, path = random.Random(4), f"file://{tmp_path}/s"
-    t, model = ShardedTable(spark, path, num_shards=3), {}
+    t, model = ShardedTable(spark, path, num_shards=2), {}
     data = {f"k{i}": str(i) for i in range(40)}
     t.set_multi(data)
     model |= data
@@ -147,11 +147,11 @@ def test_sharded_table(spark, tmp_path):
     del model[min(model)]
     ops = spark.createDataFrame([(k, "value", v, "value", "!") for k, v in [*list(model.items())[:5], ("none", "0")]], "key string, expected_kind string, expected string, desired_kind string, desired string")
     assert t.compare_exchange_multi(ops) == Status.INFEASIBLE and state(t) == model
-    assert len(shard_paths(spark, path)) == 3 and ShardedTable(spark, path).count() == len(model)
+    assert len(shard_paths(spark, path)) == 2 and ShardedTable(spark, path).count() == len(model)
     assert rename_shards(spark, path, f"file://{tmp_path}/r") == Status.SUCCESS and rename_shards(spark, path, path) == Status.NOT_FOUND
     assert state(restore_shards(spark, f"file://{tmp_path}/r", f"file://{tmp_path}/n")) == model
     with pytest.raises(StatusError):
-        ShardedTable(spark, f"file://{tmp_path}/r", num_shards=2)
+        ShardedTable(spark, f"file://{tmp_path}/r", num_shards=3)
 
 
 def test_stored_index(spark, tmp_path):
