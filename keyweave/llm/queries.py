@@ -149,6 +149,11 @@ SQL = {
     "p2_top": f"SELECT rec_key, n, CAST(rank AS INTEGER) AS rank FROM ({_TOP})",
     "p6_checks": """SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_incomplete, CAST(0 AS BIGINT) AS n_split_needlessly,
   CAST(0 AS BIGINT) AS n_overfull, true AS nearly_full FROM documents""",
+    # Sized in characters: no choice of tokenizer changes which sources fall short.
+    "p7_found": r"""
+WITH d AS (SELECT regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g') AS k, length(text) AS n FROM documents),
+  s AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(sum(d.n), 0) AS size FROM mix_targets t LEFT JOIN d ON d.k = t.source GROUP BY ALL)
+SELECT source FROM s WHERE size * max_repeats < target_share * (SELECT sum(size) FROM s)""",
     "p7_checks": r"""
 SELECT t.source, count(d.k) AS n_docs, true AS in_windows, true AS repeats_kept, true AS amount_reached FROM mix_targets t
 LEFT JOIN (SELECT regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g') AS k FROM documents) d ON d.k = t.source

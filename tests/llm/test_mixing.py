@@ -109,4 +109,4 @@ def test_found(spark, sf):
 
 
 def test_sql(spark, sf):
-    assert oracle.check(spark, "p7_checks", sf) == 9
+    assert oracle.check(spark, "p7_checks", sf) == 9 and oracle.check(spark, "p7_found", sf) > 0
